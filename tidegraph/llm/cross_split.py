@@ -1,11 +1,13 @@
 """Overlaps between splits by a weighted cosine join.
 
-A text is a vector over its runs of `run` words in a row; a run weighs the square of the sum of its words' inverse document
-frequencies, and vectors have length one. Terms are taken in one order for all texts, heaviest first. Residual norm: a
-pair whose first shared term stands at position i has a dot product of at most the norm from i on, so a term is posted
-only while that norm reaches the threshold. Maximum weight: where two postings meet, the product of the two weights
-plus that of the two norms after the term bounds the dot product, and pairs below the threshold are passed over. What
-is left gets its exact dot product and, for near-duplicates as this project defines them, its exact word overlap.
+A text is a vector over its runs of `run` words in a row; a run weighs the sum of its words' inverse document
+frequencies (words in fewer than one of RARE texts weigh alike, so misspelt words don't outweigh the rest), and vectors
+have length one. Terms are taken in one order for all texts, heaviest first. Residual norm: a pair whose first shared
+term stands at position i has a dot product of at most the norm from i on, so a term is posted only while that norm
+reaches `surely`; every pair with such a dot product meets, and of the others those that share a posted term. Maximum
+weight: where two postings meet, the product of the two weights plus that of the two norms after the term bounds the
+dot product, and pairs below `least` are passed over. What is left gets its exact dot product and, for near-duplicates
+as this project defines them, its exact word overlap.
 
 Defined results: null, empty and short texts, and records without a role in either side, are in no pair; repeated
 roles and deliveries count once; a record with roles on both sides stands on both; empty input gives an empty result.
@@ -21,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.lists import Filter, list_pairs, pack, with_weights
-from tidegraph.llm.similar import check_pairs, jaccard, record_pairs
+from tidegraph.llm.similar import check_pairs, record_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
 
+#: Words in fewer than one of so many texts have equal weight.
+RARE = 200
 #: The roles on the two sides of the join.
 TRAIN, HELD_OUT = ("train",), ("validation", "calibration", "test")
 
@@ -40,15 +44,19 @@ def _terms(words: np.ndarray, row: np.ndarray, idf: np.ndarray, run: int) -> tup
     for j in range(run):
         term = mix(term * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n].astype(np.uint64))
         weight += w[j : j + n]
-    term, r, weight = term[inside], row[:n][inside], weight[inside] ** 2
+    term, r, weight = term[inside], row[:n][inside], weight[inside]
     order = np.lexsort((term, -weight, r))
     term, r, weight = term[order], r[order], weight[order]
     first = np.append(True, (term[1:] != term[:-1]) | (r[1:] != r[:-1])) if len(term) else np.empty(0, bool)
     return term[first], r[first], weight[first]
 
 
-def _post(df: np.ndarray, n_texts: int, run: int, least: float):
-    idf = np.log((n_texts + 2) / (df + 1)).clip(0.01)
+def _idf(df: np.ndarray, n_texts: int) -> np.ndarray:
+    return np.log((n_texts + 2) / (df + 1)).clip(0.01, np.log(RARE))
+
+
+def _post(df: np.ndarray, n_texts: int, run: int, surely: float):
+    idf = _idf(df, n_texts)
     schema = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("bits", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +81,7 @@ def _post(df: np.ndarray, n_texts: int, run: int, least: float):
             before = np.append(0, np.cumsum(total))[r]
             rest = np.sqrt(np.maximum(total[r] - (done - before), 0) / total[r])  # the norm after the term
             weight = w / np.sqrt(total[r])
-            keep = rest**2 + weight**2 >= (least - 1e-6) ** 2
+            keep = rest**2 + weight**2 >= (surely - 1e-6) ** 2
             term, r = term[keep], r[keep]
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(c[r]), pa.array(with_weights(bits[r], weight[keep], rest[keep]).view(np.int64))], schema=schema)
 
@@ -108,20 +116,18 @@ def split_sequences(reviews: DataFrame, splits: DataFrame, min_words: int = 12)
     return cut(s.join(role_sides(splits).withColumnRenamed("node_key", "id"), "id").select("id", "c", "side", "n", "w"), "sets")
 
 
-def cosine_pairs(sets: DataFrame, least: float = 0.3, run: int = 3, threshold: float = 0.7, block: int = 16384) -> DataFrame:
-    """(a, b, cosine, similarity): pairs of classes of different sides with at least that cosine and word overlap."""
+def cosine_pairs(sets: DataFrame, surely: float = 0.7, least: float = 0.2, run: int = 3, threshold: float = 0.7, block: int = 16384) -> DataFrame:
+    """(a, b, similarity, cosine): pairs of classes of different sides with that word overlap, and their exact dot product."""
     df, n = document_frequencies(sets)
-    postings = sets.select("c", "side", "w").mapInArrow(_post(df, n, run, least), "k bigint, c bigint, bits bigint")
+    postings = sets.select("c", "side", "w").mapInArrow(_post(df, n, run, surely), "k bigint, c bigint, bits bigint")
     met = cut(list_pairs(postings, Filter(threshold, least), block), "candidates")
-    dot = cosine(np.log((n + 2) / (df + 1)).clip(0.01), run)
-    words = check_pairs(sets, met, jaccard, threshold)
-    return check_pairs(sets, cut(words.select("a", "b"), "overlaps"), dot, least).withColumnRenamed("similarity", "cosine")
+    return check_pairs(sets, met, threshold, cosine(_idf(df, n), run)).withColumnRenamed("measured", "cosine")
 
 
-def cross_split_pairs(reviews: DataFrame, splits: DataFrame, threshold: float = 0.7, least: float = 0.3, min_words: int = 12) -> DataFrame:
+def cross_split_pairs(reviews: DataFrame, splits: DataFrame, threshold: float = 0.7, min_words: int = 12) -> DataFrame:
     """(id_a, id_b): near-duplicate reviews of which one has a role on the left and the other one on the right."""
     sets = split_sequences(reviews, splits, min_words)
-    pairs = cut(cosine_pairs(sets, least, threshold=threshold), "pairs")
+    pairs = cut(cosine_pairs(sets, threshold=threshold), "pairs")
     return record_pairs(sets, pairs.select("a", "b"), across=True)
 
 

@@ -66,26 +66,58 @@ class Filter:
         return ok
 
 
+#: Runs of up to so many rows are compared one distance at a time over all runs, longer ones as a matrix in parts of at most CELLS.
+RUN, CELLS = 24, 1 << 18
+
+
 def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, near: Filter, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of equal k: each row with the rows after it, one distance at a time over all runs."""
+    """Pairs within runs of equal k that pass the filter; a pair of a run may come out twice where both texts stand on both sides."""
     n = len(k)
     ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, n) if n else np.empty(0, np.int64)
-    end = np.repeat(ends, np.diff(np.append(0, ends)))
-    i = np.arange(n)
+    sizes = np.diff(np.append(0, ends))
     a, b = [], []
+
+    def keep(p: np.ndarray, q: np.ndarray) -> None:
+        ok = near(bits[p], bits[q]) & (c[p] != c[q])
+        if block is not None:
+            ok &= block[p] != block[q]
+        if ok.any():
+            p, q = c[p[ok]], c[q[ok]]
+            a.append(np.minimum(p, q))
+            b.append(np.maximum(p, q))
+
+    short = np.repeat(sizes <= RUN, sizes)
+    end = np.repeat(ends, sizes)
+    i = np.flatnonzero(short)
     step = 1
     while len(i := i[i + step < end[i]]):
-        for part in range(0, len(i), 1 << 18):
-            p = i[part : part + (1 << 18)]
-            q = p + step
-            ok = near(bits[p], bits[q]) & (c[p] != c[q])
-            if block is not None:
-                ok &= block[p] != block[q]
-            if ok.any():
-                p, q = c[p[ok]], c[q[ok]]
-                a.append(np.minimum(p, q))
-                b.append(np.maximum(p, q))
+        for part in range(0, len(i), CELLS):
+            keep(i[part : part + CELLS], i[part : part + CELLS] + step)
         step += 1
+    words = bits & _u((1 << PARITY) - 1)
+    size = _part(bits, _S0, SIZES)
+    room = np.where(size == 255, PARITY, np.ceil(size * (1 - near.jaccard) / (1 + near.jaccard))).clip(0, PARITY).astype(np.uint8)
+    side = _part(bits, _D0, SIDES)
+    for lo, hi in zip(ends[sizes > RUN] - sizes[sizes > RUN], ends[sizes > RUN]):
+        own = side[lo:hi]
+        split = bool((own != 3).any())
+        x = lo + np.flatnonzero(own & 1) if split else np.arange(lo, hi)
+        y = lo + np.flatnonzero(own & 2) if split else x
+        if not len(x) or not len(y):
+            continue
+        wy, ry = words[y], room[y]
+        rows = max(1, CELLS // len(y))
+        for at in range(0, len(x), rows):
+            first = 0 if split else at
+            xs = x[at : at + rows]
+            near_ = np.bitwise_count(words[xs][:, None] ^ wy[None, first:]) <= room[xs][:, None] + ry[None, first:]
+            p, q = np.nonzero(near_)
+            q = q + first
+            if not split:
+                later = q > p + at
+                p, q = p[later], q[later]
+            if len(p):
+                keep(xs[p], y[q])
     none = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 

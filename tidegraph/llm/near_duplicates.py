@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidegraph.llm.lists import Filter, list_pairs, pack
-from tidegraph.llm.similar import check_pairs, jaccard, record_pairs
+from tidegraph.llm.similar import check_pairs, record_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
 
@@ -76,7 +76,7 @@ def signature_pairs(sets: DataFrame, threshold: float = 0.7, coordinates: int =
     """(a, b, similarity): pairs of classes with a Jaccard of at least the threshold, among those that agree on enough coordinates."""
     df, n = document_frequencies(sets)
     postings = sets.select("c", "side", "w").mapInArrow(_sign(df, n, coordinates, width, match), "k bigint, c bigint, bits bigint")
-    return check_pairs(sets, cut(list_pairs(postings, Filter(threshold), block), "candidates"), jaccard, threshold)
+    return check_pairs(sets, cut(list_pairs(postings, Filter(threshold), block), "candidates"), threshold)
 
 
 def near_duplicate_sets(rows: DataFrame, id_col: str, text_col: str, min_words: int = 12) -> DataFrame:

@@ -40,19 +40,25 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0).to_numpy())).astype(np.int32))], names=["s"])
 
 
-def check_pairs(sets: DataFrame, pairs: DataFrame, measure: Callable[[np.ndarray, np.ndarray], float], least: float) -> DataFrame:
-    """(a, b, similarity) of the pairs whose exact measure over their word hashes is at least `least`."""
+def check_pairs(sets: DataFrame, pairs: DataFrame, least: float, also: Callable[[np.ndarray, np.ndarray], float] | None = None) -> DataFrame:
+    """(a, b, similarity) of the pairs whose Jaccard over all their words is at least `least`; with a further measure of the two sequences, measured."""
     w = ends_only(sets, pairs)
     x = pairs.select("a", "b").join(w.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a")
     x = x.join(w.select(F.col("c").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
+    names = ["a", "b", "similarity", *(["measured"] if also else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [measure(np.frombuffer(p.as_buffer(), "<u4"), np.frombuffer(q.as_buffer(), "<u4")) for p, q in zip(batch.column(2), batch.column(3))]
-            keep = pa.array(np.flatnonzero(np.array(got, dtype=float) >= least - 1e-12))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(got, pa.float64()).take(keep)], names=["a", "b", "similarity"])
-
-    return x.mapInArrow(run, "a bigint, b bigint, similarity double")
+            both = [(np.frombuffer(p.as_buffer(), "<u4"), np.frombuffer(q.as_buffer(), "<u4")) for p, q in zip(batch.column(2), batch.column(3))]
+            got = [jaccard(p, q) for p, q in both]
+            at = [i for i, s in enumerate(got) if s >= least - 1e-12]
+            keep = pa.array(at, pa.int64())
+            cols = [batch.column(0).take(keep), batch.column(1).take(keep), pa.array([got[i] for i in at], pa.float64())]
+            if also:
+                cols.append(pa.array([also(*both[i]) for i in at], pa.float64()))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return x.mapInArrow(run, "a bigint, b bigint, similarity double" + (", measured double" if also else ""))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
