@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.lists import Filter, list_pairs, pack, with_weights
+from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, pack, with_weights
 from tidegraph.llm.similar import check_pairs, record_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
@@ -57,7 +57,6 @@ def _idf(df: np.ndarray, n_texts: int) -> np.ndarray:
 
 def _post(df: np.ndarray, n_texts: int, run: int, surely: float):
     idf = _idf(df, n_texts)
-    schema = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("bits", pa.int64())])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -74,7 +73,7 @@ def _post(df: np.ndarray, n_texts: int, run: int, surely: float):
             batch = batch.take(pa.array(new))
             c, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             words, row = flat(batch.column(2))
-            bits = pack(*distinct_words(words, row), len(c), side)
+            bits, more = pack(*distinct_words(words, row), len(c), side)
             term, r, w = _terms(words, row, idf, run)
             total = np.bincount(r, w * w, minlength=len(c))
             done = np.cumsum(w * w)
@@ -83,7 +82,7 @@ def _post(df: np.ndarray, n_texts: int, run: int, surely: float):
             weight = w / np.sqrt(total[r])
             keep = rest**2 + weight**2 >= (surely - 1e-6) ** 2
             term, r = term[keep], r[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(c[r]), pa.array(with_weights(bits[r], weight[keep], rest[keep]).view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(c[r]), pa.array(with_weights(bits[r], weight[keep], rest[keep]).view(np.int64)), pa.array(more[r].view(np.int64))], schema=POSTING)
 
     return emit
 
@@ -119,7 +118,7 @@ def split_sequences(reviews: DataFrame, splits: DataFrame, min_words: int = 12)
 def cosine_pairs(sets: DataFrame, surely: float = 0.7, least: float = 0.2, run: int = 3, threshold: float = 0.7, block: int = 16384) -> DataFrame:
     """(a, b, similarity, cosine): pairs of classes of different sides with that word overlap, and their exact dot product."""
     df, n = document_frequencies(sets)
-    postings = sets.select("c", "side", "w").mapInArrow(_post(df, n, run, surely), "k bigint, c bigint, bits bigint")
+    postings = sets.select("c", "side", "w").mapInArrow(_post(df, n, run, surely), POSTING_DDL)
     met = cut(list_pairs(postings, Filter(threshold, least), block), "candidates")
     return check_pairs(sets, met, threshold, cosine(_idf(df, n), run)).withColumnRenamed("measured", "cosine")
 

@@ -1,8 +1,8 @@
 """Inverted lists over tasks: postings meet by key, and only pairs that can still be similar leave a list.
 
-A posting is (k, c, bits): the key of its list, the class of the text, and 64 bits that bound its similarity with any
-other: 46 bits of parity of the words' hashes, the number of distinct words, the sides on which the class stands, and
-the weight of the term and the norm of what follows it, both rounded up to sixteenths. The parities of two texts differ
+A posting is (k, c, bits, more): the key of its list, the class of the text, and 128 bits that bound its similarity with
+any other: 110 bits of parity of the words' hashes, the number of distinct words, the sides on which the class stands,
+and the weight of the term and the norm of what follows it, both rounded up to sixteenths. The parities of two texts differ
 in at most as many bits as the texts differ in words, so no similar pair is lost in a list.
 
 A list of more than `block` postings is set aside, split into blocks by a hash of the class, and each pair of blocks is
@@ -22,18 +22,22 @@ from tidegraph.llm.words import mix
 from tidegraph.session import cut, task_count
 
 PARITY, SIZES, SIDES, UNITS = 46, 8, 2, 4
+POSTING_DDL = "k bigint, c bigint, bits bigint, more bigint"
+POSTING = pa.schema([(x, pa.int64()) for x in ("k", "c", "bits", "more")])
 _S0, _D0, _W0, _R0 = PARITY, PARITY + SIZES, PARITY + SIZES + SIDES, PARITY + SIZES + SIDES + UNITS
 _u = np.uint64
 
 
-def pack(words: np.ndarray, row: np.ndarray, n_rows: int, side: np.ndarray) -> np.ndarray:
-    """Bits of each row from its distinct words (sorted by row); weight and rest are set to one."""
+def pack(words: np.ndarray, row: np.ndarray, n_rows: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """bits and more of each row from its distinct words (sorted by row); weight and rest are set to one."""
     start = np.searchsorted(row, np.arange(n_rows))
     size = np.diff(np.append(start, len(row)))
-    one = _u(1) << (mix(words) % _u(PARITY))
-    parity = np.bitwise_xor.reduceat(one, start) if len(one) else np.zeros(n_rows, _u)
+    at = mix(words) % _u(PARITY + 64)
+    low = np.where(at < PARITY, _u(1) << np.minimum(at, _u(63)), _u(0))
+    high = np.where(at < PARITY, _u(0), _u(1) << (np.maximum(at, _u(PARITY)) - _u(PARITY)))
     ones = _u((1 << UNITS) - 1)
-    return parity | (np.minimum(size, 255).astype(_u) << _u(_S0)) | (side.astype(_u) << _u(_D0)) | (ones << _u(_W0)) | (ones << _u(_R0))
+    bits = np.bitwise_xor.reduceat(low, start) | (np.minimum(size, 255).astype(_u) << _u(_S0)) | (side.astype(_u) << _u(_D0)) | (ones << _u(_W0)) | (ones << _u(_R0))
+    return bits, np.bitwise_xor.reduceat(high, start)
 
 
 def with_weights(bits: np.ndarray, weight: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -52,9 +56,9 @@ class Filter:
     def __init__(self, jaccard: float, dot: float = 0.0) -> None:
         self.jaccard, self.dot = jaccard, dot
 
-    def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
         nx, ny = _part(x, _S0, SIZES), _part(y, _S0, SIZES)
-        apart = np.bitwise_count((x ^ y) & _u((1 << PARITY) - 1))
+        apart = np.bitwise_count((x ^ y) & _u((1 << PARITY) - 1)).astype(np.int64) + np.bitwise_count(x2 ^ y2)
         most = (1 - self.jaccard) / (1 + self.jaccard) * (nx + ny) + 1e-9
         long = (nx == 255) | (ny == 255)
         ok = long | ((apart <= most) & (np.minimum(nx, ny) + 1e-9 >= self.jaccard * np.maximum(nx, ny)))
@@ -70,7 +74,7 @@ class Filter:
 RUN, CELLS = 24, 1 << 18
 
 
-def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, near: Filter, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, near: Filter, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within runs of equal k that pass the filter; a pair of a run may come out twice where both texts stand on both sides."""
     n = len(k)
     ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, n) if n else np.empty(0, np.int64)
@@ -78,7 +82,7 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, near: Filter, block:
     a, b = [], []
 
     def keep(p: np.ndarray, q: np.ndarray) -> None:
-        ok = near(bits[p], bits[q]) & (c[p] != c[q])
+        ok = near(bits[p], bits[q], more[p], more[q]) & (c[p] != c[q])
         if block is not None:
             ok &= block[p] != block[q]
         if ok.any():
@@ -122,54 +126,60 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, near: Filter, block:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("k", pa.int64()), ("bits", pa.int64())])
-_OUT_DDL = "a bigint, b bigint, k bigint, bits bigint"
+_OUT = pa.schema([(x, pa.int64()) for x in ("a", "b", "k", "bits", "more")])
+_OUT_DDL = "a bigint, b bigint, k bigint, bits bigint, more bigint"
 
 
-def _batch(a: np.ndarray, b: np.ndarray | None, k: np.ndarray | None = None, bits: np.ndarray | None = None) -> pa.RecordBatch:
-    empty = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a), empty if b is None else pa.array(b), empty if k is None else pa.array(k), empty if bits is None else pa.array(bits.view(np.int64))], schema=_OUT)
+def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], schema=_OUT)
+
+
+def _aside(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(bits.view(np.int64)), pa.array(more.view(np.int64))], schema=_OUT)
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column(j).to_numpy() if j < 2 else batch.column(j).to_numpy().view(np.uint64) for j in range(4)]
 
 
 def _merge(near: Filter, block: int):
     """Over rows sorted by k: pairs of each list, or the rows of a list that outgrows the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        held: list[np.ndarray] = []
         over: int | None = None
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-            k, c, bits = (np.concatenate(x) for x in zip(held, new)) if len(held[0]) else new
-            if not len(k):
+            if not batch.num_rows:
                 continue
-            tail = int(np.searchsorted(k, k[-1]))
+            rows = [np.concatenate(x) for x in zip(held, _columns(batch))] if held else _columns(batch)
+            k = rows[0]
             starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
             sizes = np.diff(np.append(starts, len(k)))
-            large = (sizes > block) | ((k[starts] == over) if over is not None else False)
-            grown = bool(large[-1])
-            large[-1] |= not grown  # the last list may go on: it is held, not merged
-            apart = np.repeat(large, sizes)
-            a, b = _pairs(k[~apart], c[~apart], bits[~apart], near)
+            large = sizes > block
+            if over is not None:
+                large |= k[starts] == over
+            aside = np.repeat(large, sizes)
+            if aside.any():
+                yield _aside(*(x[aside] for x in rows))
+            over = int(k[-1]) if large[-1] else None
+            tail = len(k) if large[-1] else int(starts[-1])  # the last list may go on: it is held
+            ready = ~aside[:tail]
+            a, b = _pairs(*(x[:tail][ready] for x in rows), near)
             if len(a):
-                yield _batch(a, b)
-            if not grown:
-                apart[tail:] = False
-            if apart.any():
-                yield _batch(c[apart], None, k[apart], bits[apart])
-            over = int(k[-1]) if grown else None
-            held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)] if grown else [k[tail:], c[tail:], bits[tail:]]
-        if len(held[0]):
-            a, b = _pairs(*held, near)
-            yield _batch(a, b)
+                yield _found(a, b)
+            held = [x[tail:].copy() for x in rows] if tail < len(k) else []
+        if held:
+            yield _found(*_pairs(*held, near))
 
     return run
 
 
 def _merge_blocks(near: Filter):
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        c, bits, blk = (t.column(x).to_numpy() for x in ("c", "bits", "blk"))
+        c, bits, more, blk = (t.column(x).to_numpy() for x in ("c", "bits", "more", "blk"))
         same = key[1].as_py() == key[2].as_py()
-        a, b = _pairs(np.zeros(len(c), np.int64), c, bits.view(np.uint64), near, None if same else blk)
+        a, b = _pairs(np.zeros(len(c), np.int64), c, bits.view(np.uint64), more.view(np.uint64), near, None if same else blk)
         return pa.table({"a": a, "b": b})
 
     return run
@@ -181,12 +191,12 @@ def list_pairs(postings: DataFrame, near: Filter, block: int = 16384) -> DataFra
     One shuffle of the postings by key; the pairs of lists above the block come from a second, of those lists alone.
     """
     n = task_count(postings.sparkSession)
-    sorted_ = postings.select("k", "c", "bits").repartition(n, "k").sortWithinPartitions("k", "c")
+    sorted_ = postings.select("k", "c", "bits", "more").repartition(n, "k").sortWithinPartitions("k", "c")
     met = cut(sorted_.mapInArrow(_merge(near, block), _OUT_DDL), "met")
-    over = met.filter("b is null").select("k", F.col("a").alias("c"), "bits").distinct()
+    over = met.filter("b is null").select("k", F.col("a").alias("c"), "bits", "more").distinct()
     sizes = over.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
     spread = over.join(sizes, "k").withColumn("blk", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
-    spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("k", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "c", "bits", "blk")
+    spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("k", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "c", "bits", "more", "blk")
     hot = spread.groupBy("k", "lo", "hi").applyInArrow(_merge_blocks(near), "a bigint, b bigint")
     both = met.filter("b is not null").select("a", "b").unionByName(hot)
     return both.groupBy("a", "b").agg(F.count("*").alias("hits"))

@@ -19,14 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidegraph.llm.lists import Filter, list_pairs, pack
+from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, pack
 from tidegraph.llm.similar import check_pairs, record_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
 
-_POST = pa.schema([("k", pa.int64()), ("c", pa.int64()), ("bits", pa.int64())])
-
-
 def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int):
     idf = np.log((n_texts + 2) / (df + 1)).astype(np.float64).clip(0.05)
     often = np.log(df + 1.0)
@@ -63,11 +60,11 @@ def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + known[least].astype(np.uint64))
                     common[:, j] += freq[least]
                 keys[:, j] = key
-            bits = pack(words, row, len(c), side)
+            bits, more = pack(words, row, len(c), side)
             keep = np.argsort(common, axis=1, kind="stable")[:, : coordinates - match + 1]
             k = np.take_along_axis(keys, keep, axis=1).ravel().view(np.int64)
             many = keep.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(c, many)), pa.array(np.repeat(bits, many).view(np.int64))], schema=_POST)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(c, many)), pa.array(np.repeat(bits, many).view(np.int64)), pa.array(np.repeat(more, many).view(np.int64))], schema=POSTING)
 
     return run
 
@@ -75,7 +72,7 @@ def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int
 def signature_pairs(sets: DataFrame, threshold: float = 0.7, coordinates: int = 16, width: int = 3, match: int = 2, block: int = 16384) -> DataFrame:
     """(a, b, similarity): pairs of classes with a Jaccard of at least the threshold, among those that agree on enough coordinates."""
     df, n = document_frequencies(sets)
-    postings = sets.select("c", "side", "w").mapInArrow(_sign(df, n, coordinates, width, match), "k bigint, c bigint, bits bigint")
+    postings = sets.select("c", "side", "w").mapInArrow(_sign(df, n, coordinates, width, match), POSTING_DDL)
     return check_pairs(sets, cut(list_pairs(postings, Filter(threshold), block), "candidates"), threshold)
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import components, cross_split, near_duplicates
+from tidegraph.llm import abuse, components, cross_split, leaks, near_duplicates, packing
 from tidegraph.sources.tables import table
 
 
@@ -38,6 +39,57 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return components.group_summary(table(spark, d, "account_links"), table(spark, d, "ring_candidates"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_counts, p5_found, p5_groups, p6_found, p6_groups)}
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
-SQL: dict[str, str] = {}
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_packed(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("leaked").select("doc_id", "item_id")
+
+
+def p9_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter("overlap >= least(13, n_words)")
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "eval_items")
+    return leaks.leak_report(leaks.find_leaks(table(spark, d, "documents"), items), items)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return abuse.score_documents(docs, abuse.fit(docs, table(spark, d, "doc_labels")), keep=("source",))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).filter("flagged").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "score", "n_tokens", "n_passages", "flagged")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scored(spark, d))
+
+
+_ALL = (p4_found, p4_counts, p5_found, p5_groups, p6_found, p6_groups, p8_packed, p8_report, p9_found, p9_overlaps, p9_report, p10_found, p10_scores, p10_rates)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+#: The smallest reviewer that can be reached, over links from pairs and from each list's first member.
+SQL: dict[str, str] = {
+    "p6_found": """WITH RECURSIVE m AS (SELECT list_sort(list_distinct(list_filter(members, lambda x: x IS NOT NULL))) AS m FROM ring_candidates WHERE members IS NOT NULL),
+    l AS (SELECT reviewer_a AS a, reviewer_b AS b FROM account_links WHERE shared_targets >= 2 AND reviewer_a <> reviewer_b
+      UNION SELECT m[1], unnest(m[2:]) FROM m WHERE len(m) > 1),
+    e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    r(v, u) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
+    SELECT v AS reviewer_id, min(u) AS group_id FROM r GROUP BY 1""",
+}
