@@ -162,16 +162,22 @@ class Model:
 
 
 #: Subtracted from each token, so that ordinary text scores below 0 and a segment ends with the passage.
-DRIFT = 0.7
+DRIFT = 1.0
 #: Weight of the prior in tokens, and the bounds of one slot's log-odds.
 PRIOR, LOW, HIGH = 400.0, -2.5, 4.0
+#: Standard errors by which log-odds are drawn towards 0; passages below this share of the median are taken for wrong labels.
+DOUBT, WEAK = 1.0, 0.4
+#: The limit is the lowest whose F1 is within this of the best.
+SLACK = 0.005
 
 
 def _log_odds(yes: np.ndarray, no: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     out = np.zeros((2, SLOTS))
     for r in (0, 1):
         prior = PRIOR * (corpus[r] + 0.01) / (corpus[r].sum() + 0.01 * SLOTS)
-        out[r] = np.log((yes[r] + prior) / (yes[r].sum() + PRIOR)) - np.log((no[r] + prior) / (no[r].sum() + PRIOR))
+        odds = np.log((yes[r] + prior) / (yes[r].sum() + PRIOR)) - np.log((no[r] + prior) / (no[r].sum() + PRIOR))
+        doubt = np.sqrt(1 / (yes[r] + prior + 0.5) + 1 / (no[r] + prior + 0.5))
+        out[r] = np.sign(odds) * np.maximum(np.abs(odds) - DOUBT * doubt, 0)  # what few occurrences show counts less
     out[1] /= 2  # a pair repeats part of what its tokens say
     return out.clip(LOW, HIGH)
 
@@ -194,7 +200,7 @@ def _learn(yes: list, no: list, corpus: np.ndarray, rounds: int) -> np.ndarray:
             s, a, b = best_segment(scores[0][one] + scores[1][two] - DRIFT)
             spans.append((a, b))
             floor.append(s)
-        weak = np.quantile(floor, 0.05) if floor else 0.0  # wrong labels have no passage
+        weak = WEAK * float(np.median(floor))  # wrong labels have no passage
         spans = [(a, b) if s > weak else (0, 0) for (a, b), s in zip(spans, floor)]
         passages = _count(yes, spans)
         scores = _log_odds(passages, no_counts + yes_counts - passages, corpus)
@@ -215,7 +221,7 @@ def _extreme(scores: np.ndarray, no: list) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, rounds: int = 4) -> Model:
     """The model from at most max_labelled labelled documents (those with the smallest hashes) and the counts of all documents.
 
-    The limit of significance is the one with the best F1 on documents that the scores in use were not learned from (two halves).
+    The limit of significance is the lowest with about the best F1 on documents that the scores in use were not learned from (two halves).
     """
     votes = labels.filter(F.col("toxic").isNotNull()).groupBy(id_col).agg(F.avg("toxic").alias("v")).filter("v <> 0.5")
     some = votes.orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
@@ -242,12 +248,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         m = Model(scores, *_extreme(scores, no[half::2] or no), 0.0)
         judged += [(m.evidence(best_segment(m.token_scores(*x))[0], len(x[0])), v) for xs, v in ((yes[1 - half :: 2], True), (no[1 - half :: 2], False)) for x in xs]
     judged.sort(key=lambda x: -x[0])
-    hits, best, limit = 0, -1.0, 1.0
+    hits, curve = 0, [(0.0, 1.0)]
     for n, (e, v) in enumerate(judged, 1):
         hits += v
-        f1 = 2 * hits / (n + len(yes))
-        if e > 0 and f1 > best and (n == len(judged) or judged[n][0] < e):
-            best, limit = f1, (e + (judged[n][0] if n < len(judged) else 0)) / 2
+        after = judged[n][0] if n < len(judged) else 0.0
+        if e > after:
+            curve.append((2 * hits / (n + len(yes)), (e + after) / 2))
+    best = max(curve)[0]
+    limit = min(x for f1, x in curve if f1 >= best - SLACK)
     scores = _learn(yes, no, corpus, rounds)
     return Model(scores.astype(np.float32), *_extreme(scores, no), limit)
 
