@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.operators import asof, eager, ingest, rolling
-from tidegraph.sources.tables import event_reviews, table
+from tidegraph.operators import asof, eager, evaluation, fusion, graph, history, ingest, rings, rolling
+from tidegraph.sources.tables import event_reviews, order_reviews, scored_events, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,3 +117,265 @@ def top_bursts(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("reviewer_id").orderBy("us").rangeBetween(-86_400_000_000, -1)
     e = event_reviews(spark, d).select("reviewer_id", F.count("*").over(w).alias("n"))
     return e.groupBy("reviewer_id").agg(F.max("n").alias("largest_burst_24h")).orderBy(F.desc("largest_burst_24h"), "reviewer_id").limit(10)
+
+
+# -- the operators of the review engine, over events (dense), orders (many ties) and reviews -----------------------------
+
+_EV = "ev AS (SELECT event_id AS review_id, user_id AS reviewer_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS target_id, epoch_us(ts) AS us, cast(1 + event_id % 5 AS DOUBLE) AS rating, event_type, value FROM events)"
+_OR = "orr AS (SELECT o_orderkey AS review_id, o_custkey AS reviewer_id, p AS target_id, epoch_us(cast(o_orderdate AS TIMESTAMP)) AS us, cast(1 + o_orderkey % 5 AS DOUBLE) AS rating FROM orders JOIN (SELECT l_orderkey, min(l_partkey) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"
+_SC = f"{_EV}, sc AS (SELECT review_id, reviewer_id, target_id, us, (cast(floor(value * 100) AS BIGINT) % 1000 + 1000) % 1000 / 1000.0 AS score, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN NULL ELSE 0 END AS label FROM ev)"
+_MEMBERS = "mem AS (SELECT concat('c', target_id % 10) AS campaign_id, review_id FROM sc WHERE label = 1 AND score >= 0.5)"
+_D = 86_400_000_000
+
+
+def _win(name: str, key: str, days: int | None) -> str:
+    return f"{name} AS (PARTITION BY {key} ORDER BY us RANGE BETWEEN {'UNBOUNDED' if days is None else days * _D} PRECEDING AND 1 PRECEDING)"
+
+
+_HIST = f"""SELECT review_id, count(*) OVER u1 AS rev_count_1d, count(*) OVER u7 AS rev_count_7d, count(*) OVER u30 AS rev_count_30d,
+    count(DISTINCT target_id) OVER ua AS prior_unique_targets, count(*) OVER t30 AS target_volume_prior, count(DISTINCT reviewer_id) OVER ta AS target_reviewer_volume_prior,
+    round((us - max(us) OVER t30) / 1e6, 3) AS time_since_target_prev_s, round((us - max(us) OVER ua) / 1e6, 3) AS time_since_prev_s, round(rating - avg(rating) OVER ua, 6) AS rating_minus_reviewer_prior_mean,
+    CASE WHEN count(*) OVER ua > 0 THEN least(count(*) OVER ua, 512) END AS reviewer_prior_rating_count, round(avg(rating) OVER ta, 6) AS target_prior_mean_rating, count(*) OVER t1 AS target_burst_24h,
+    CASE WHEN count(gap_s) OVER ua >= 2 THEN round(avg(gap_s) OVER ua, 3) END AS interarrival_mean_s, CASE WHEN count(gap_s) OVER ua >= 2 THEN round(stddev_pop(gap_s) OVER ua, 2) END AS interarrival_std_s
+    FROM (SELECT *, CASE WHEN lag(us) OVER o >= us - {30 * _D} THEN (us - lag(us) OVER o) / 1e6 END AS gap_s FROM x WINDOW o AS (PARTITION BY reviewer_id ORDER BY us, review_id))
+    WINDOW {_win('u1', 'reviewer_id', 1)}, {_win('u7', 'reviewer_id', 7)}, {_win('u30', 'reviewer_id', 30)}, {_win('ua', 'reviewer_id', None)}, {_win('t1', 'target_id', 1)}, {_win('t30', 'target_id', 30)}, {_win('ta', 'target_id', None)}"""
+
+
+def _rounded_history(reviews: DataFrame) -> DataFrame:
+    h = history.history(reviews)
+    keep = "review_id rev_count_1d rev_count_7d rev_count_30d prior_unique_targets target_volume_prior target_reviewer_volume_prior reviewer_prior_rating_count target_burst_24h".split()
+    digits = {"time_since_target_prev_s": 3, "time_since_prev_s": 3, "rating_minus_reviewer_prior_mean": 6, "target_prior_mean_rating": 6, "interarrival_mean_s": 3, "interarrival_std_s": 2}
+    return h.select(*keep, *(F.round(c, n).alias(c) for c, n in digits.items()))
+
+
+@query(f"WITH {_EV}, x AS (SELECT * FROM ev) {_HIST}")
+def hist_features(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_history(event_reviews(spark, d))
+
+
+@query(f"WITH {_OR}, x AS (SELECT * FROM orr) {_HIST}")
+def hist_features_ties(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_history(order_reviews(spark, d))
+
+
+@query()
+def hist_scaled(spark: SparkSession, d: str) -> DataFrame:
+    r = event_reviews(spark, d)
+    return history.scale(history.history(r), evaluation.chronological_split(r).filter("role = 'train'"))
+
+
+def _edges_sql(view: str, key: str, days: int, most: int, relation: str) -> str:
+    return f"""SELECT src, dst, relation, available_at FROM (SELECT a.review_id AS src, b.review_id AS dst, '{relation}' AS relation, a.us // 1000000 AS available_at,
+    row_number() OVER (PARTITION BY b.review_id ORDER BY a.us // 1000000 DESC, a.review_id DESC) AS rn FROM {view} a JOIN {view} b ON a.{key} = b.{key} AND a.us // 1000000 < b.us // 1000000 AND a.us // 1000000 >= b.us // 1000000 - {days * 86400}) WHERE rn <= {most}"""
+
+
+@query(f"WITH {_EV} {_edges_sql('ev', 'reviewer_id', 30, 10, 'same_reviewer')}")
+def edges_same_reviewer(spark: SparkSession, d: str) -> DataFrame:
+    return graph.same_reviewer_edges(event_reviews(spark, d))
+
+
+@query(f"WITH {_EV} {_edges_sql('ev', 'target_id', 7, 20, 'same_target')}")
+def edges_same_target(spark: SparkSession, d: str) -> DataFrame:
+    return graph.same_target_edges(event_reviews(spark, d))
+
+
+@query(
+    f"""WITH {_OR}, s AS (SELECT review_id, reviewer_id, target_id % 50 AS target_id, us // 1000000 AS sec FROM orr),
+    t AS (SELECT b.review_id AS dst, b.reviewer_id, b.sec AS t, a.target_id, max(a.sec) AS l FROM s a JOIN s b ON a.reviewer_id = b.reviewer_id AND a.sec < b.sec GROUP BY 1, 2, 3, 4),
+    m AS (SELECT * FROM t WHERE l >= t - 2592000),
+    o AS (SELECT m.dst, m.t, m.target_id, a.reviewer_id AS other, max(a.sec) AS l FROM m JOIN s a ON a.target_id = m.target_id AND a.sec < m.t AND a.reviewer_id <> m.reviewer_id GROUP BY 1, 2, 3, 4),
+    k AS (SELECT dst, t, other, count(*) AS c FROM o WHERE l >= t - 2592000 GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY c DESC, other) AS rn FROM k)
+    SELECT arg_max(s.review_id, struct_pack(a := s.sec, b := s.review_id)) AS src, r.dst, 'co_target' AS relation, max(s.sec) AS available_at FROM r JOIN s ON s.reviewer_id = r.other AND s.sec < r.t WHERE rn <= 10 GROUP BY r.dst, r.other"""
+)
+def edges_co_target(spark: SparkSession, d: str) -> DataFrame:
+    return graph.co_target_edges(order_reviews(spark, d).withColumn("target_id", F.col("target_id") % 50))
+
+
+@query("SELECT relation, count(*) AS n_edges, count(DISTINCT dst) AS n_dst, min(available_at) AS first_at, max(available_at) AS last_at FROM edges GROUP BY 1")
+def edge_stats(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_stats(table(spark, d, "edges"))
+
+
+@query("SELECT review_id, coalesce(n, 0) AS in_degree, coalesce(n, 0) > 0 AS available FROM (SELECT DISTINCT review_id FROM reviews) LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY 1) ON dst = review_id")
+def in_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.in_degree(table(spark, d, "reviews").select("review_id").distinct(), table(spark, d, "edges"))
+
+
+@query("SELECT DISTINCT relation, src, dst FROM (SELECT relation, src, dst FROM edges UNION ALL SELECT relation, dst, src FROM edges)")
+def binary_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return graph.binary_adjacency(table(spark, d, "edges"))
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT node_key FROM splits WHERE role = 'test'), e AS (SELECT DISTINCT src, dst, relation FROM edges),
+    a AS (SELECT e.*, 1 AS hop FROM e WHERE dst IN (SELECT node_key FROM s)), b AS (SELECT e.*, 2 AS hop FROM e WHERE dst IN (SELECT src FROM a WHERE src IS NOT NULL))
+    SELECT src, dst, relation, min(hop) AS hop FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2, 3"""
+)
+def two_hop_field(spark: SparkSession, d: str) -> DataFrame:
+    return graph.upstream(table(spark, d, "edges"), table(spark, d, "splits").filter("role = 'test'").select(F.col("node_key").alias("review_id")))
+
+
+@query()
+def sampled_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return graph.sample_neighbours(graph.same_target_edges(event_reviews(spark, d)))
+
+
+_SEM = """SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(cast(a.embedding AS DOUBLE[]), cast(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"""
+
+
+@query(f"SELECT src, dst, cosine FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY cosine DESC, src) AS rn FROM ({_SEM}) WHERE cosine >= 0.2) WHERE rn <= 5")
+def edges_semantic(spark: SparkSession, d: str) -> DataFrame:
+    return graph.semantic_edges(table(spark, d, "embeddings"), "vec_id", "label", "vec_id", "embedding", 0.2, 5)
+
+
+@query("WITH p AS (SELECT DISTINCT reviewer_id, target_id FROM reviews WHERE reviewer_id IS NOT NULL AND rating = 1) SELECT x.reviewer_id AS a, y.reviewer_id AS b, count(*) AS shared, 2 * count(*) - 1 AS weight FROM p x JOIN p y ON x.target_id = y.target_id AND x.reviewer_id < y.reviewer_id GROUP BY 1, 2 HAVING count(*) >= 2")
+def ring_projection(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shared_target_pairs(table(spark, d, "reviews").filter("reviewer_id is not null and rating = 1"))
+
+
+@query()
+def ring_candidates_scored(spark: SparkSession, d: str) -> DataFrame:
+    return rings.ring_table(scored_events(spark, d)).select("component", F.size("members").alias("n_members"), F.size("targets").alias("n_targets"), "mean_top_score", "raw_overlap", "synchrony", "priority")
+
+
+@query(f"WITH {_EV}, d AS (SELECT target_id, us // {_D} AS day, count(*) AS n FROM ev GROUP BY 1, 2), w AS (SELECT target_id, n, sum(n) OVER (PARTITION BY target_id ORDER BY day RANGE BETWEEN CURRENT ROW AND 6 FOLLOWING) AS s FROM d) SELECT target_id, round(max(s) / sum(n), 6) AS synchrony FROM w GROUP BY 1")
+def ring_synchrony(spark: SparkSession, d: str) -> DataFrame:
+    return rings.synchrony(event_reviews(spark, d), "target_id")
+
+
+_BOUNDS = "n AS (SELECT count(*) AS n FROM ev), k AS (SELECT review_id, us, row_number() OVER (ORDER BY us, review_id) AS rn, n FROM ev, n), sp AS (SELECT review_id, us, CASE WHEN rn <= floor(n * 0.6 + 1e-9) THEN 'train' WHEN rn <= floor(n * 0.75 + 1e-9) THEN 'validation' WHEN rn <= floor(n * 0.85 + 1e-9) THEN 'calibration' ELSE 'test' END AS role FROM k)"
+
+
+@query(f"WITH {_EV}, {_BOUNDS} SELECT review_id, us, role FROM sp")
+def split_chrono(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.chronological_split(event_reviews(spark, d))
+
+
+@query(f"WITH {_EV}, {_BOUNDS} SELECT role, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM sp GROUP BY 1")
+def split_cutoffs(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.split_cutoffs(evaluation.chronological_split(event_reviews(spark, d)))
+
+
+@query(f"WITH {_SC}, u AS (SELECT review_id, label, cast(concat('0x', substr(md5(concat_ws('|', '42', cast(label AS VARCHAR), cast(review_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM sc) SELECT review_id, label, CASE WHEN label IS NULL THEN 'excluded' WHEN u < 0.6 THEN 'train' WHEN u < 0.75 THEN 'validation' WHEN u < 0.85 THEN 'calibration' ELSE 'test' END AS role FROM u")
+def split_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.stratified_split(scored_events(spark, d), "review_id", "label")
+
+
+def _members(s: DataFrame) -> DataFrame:
+    return s.filter("label = 1 and score >= 0.5").select(F.concat(F.lit("c"), (F.col("target_id") % 10).cast("string")).alias("campaign_id"), "review_id")
+
+
+@query(f"WITH {_SC}, {_MEMBERS}, {_BOUNDS} SELECT campaign_id, count(DISTINCT role) AS n_roles, array_to_string(list_sort(list(DISTINCT role)), ',') AS roles FROM mem JOIN sp USING (review_id) GROUP BY 1 HAVING count(DISTINCT role) > 1")
+def leak_check(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.leak_check(_members(scored_events(spark, d)), evaluation.chronological_split(event_reviews(spark, d)))
+
+
+_CURVE = f"{_SC}, g AS (SELECT score, sum(label) AS p, count(*) AS n FROM sc WHERE label IS NOT NULL GROUP BY 1), cu AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS m, sum(p) OVER () AS pos, sum(n) OVER () AS al FROM g WINDOW o AS (ORDER BY score DESC))"
+
+
+@query(f"WITH {_CURVE} SELECT score, cast(tp AS BIGINT) AS tp, cast(m - tp AS BIGINT) AS fp, round(tp / m, 6) AS precision, round(tp / pos, 6) AS recall FROM cu")
+def pr_curve(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.curve(scored_events(spark, d)).select("score", "tp", "fp", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(
+    f"""WITH {_CURVE} SELECT cast(max(al) AS BIGINT) AS n, cast(max(pos) AS BIGINT) AS n_positive, round(sum(p * tp / m) / max(pos), 6) AS average_precision,
+    round(sum((n - p) * (tp - p) + (n - p) * p / 2) / (max(pos) * (max(al) - max(pos))), 6) AS roc_auc, round(sum(p * (1 - score) ^ 2 + (n - p) * score ^ 2) / max(al), 6) AS brier,
+    round(max(CASE WHEN score >= 0.5 THEN m END) * 0 + 2 * max(CASE WHEN score >= 0.5 THEN tp END) / (max(CASE WHEN score >= 0.5 THEN m END) + max(pos)), 6) AS f1_at_half, round(max(2 * tp / (m + pos)), 6) AS best_f1 FROM cu"""
+)
+def metric_ranking(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.ranking_summary(scored_events(spark, d))
+
+
+@query(f"WITH {_SC}, r AS (SELECT label, row_number() OVER (ORDER BY score DESC, review_id) AS rn FROM sc WHERE label IS NOT NULL) SELECT k, round(sum(label) / count(*), 6) AS precision, round(sum(label) / (SELECT sum(label) FROM r), 6) AS recall FROM r, (VALUES (10), (100), (500)) v(k) WHERE rn <= k GROUP BY k")
+def metric_at_k(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.at_k(scored_events(spark, d), (10, 100, 500))
+
+
+@query(f"WITH {_SC}, b AS (SELECT least(cast(floor(score * 10) AS INT), 9) AS bin, score, label FROM sc WHERE label IS NOT NULL) SELECT cast(range AS INT) AS bin, count(score) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS rate FROM range(10) LEFT JOIN b ON b.bin = range GROUP BY 1")
+def metric_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.reliability(scored_events(spark, d))
+
+
+@query("WITH a AS (SELECT DISTINCT candidate_id AS p, unnest(members) AS member FROM ring_candidates), b AS (SELECT DISTINCT run_id AS t, reviewer_a AS member FROM account_links), s AS (SELECT p, t, count(*) AS c FROM a JOIN b USING (member) GROUP BY 1, 2) SELECT p, t, round(c / (na + nb - c), 6) AS iou FROM s JOIN (SELECT p, count(*) AS na FROM a GROUP BY 1) USING (p) JOIN (SELECT t, count(*) AS nb FROM b GROUP BY 1) USING (t)")
+def iou_matrix(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "ring_candidates").select(F.col("candidate_id").alias("p"), F.explode("members").alias("member"))
+    return evaluation.iou_pairs(p, table(spark, d, "account_links").select(F.col("run_id").alias("t"), F.col("reviewer_a").alias("member")))
+
+
+_RP = f"{_SC}, {_MEMBERS}, s AS (SELECT review_id, strftime(make_timestamp(us), '%Y-%m-%d') AS day, score FROM sc)"
+
+
+@query(f"WITH {_RP}, p AS (SELECT day, count(*) AS a, count_if(score >= 0.9) AS b FROM s JOIN mem USING (review_id) GROUP BY 1) SELECT day, count(*) AS n_scored, cast(count_if(score >= 0.9) AS BIGINT) AS alerts, coalesce(max(a), 0) AS planted_scored, cast(coalesce(max(b), 0) AS BIGINT) AS planted_alerted FROM s LEFT JOIN p USING (day) GROUP BY 1")
+def replay_daily(spark: SparkSession, d: str) -> DataFrame:
+    s = scored_events(spark, d)
+    return evaluation.replay_daily(s, _members(s), 0.9)
+
+
+_DELAY = f"{_RP}, dl AS (SELECT campaign_id, min(day) AS first_day, min(CASE WHEN score >= 0.9 THEN day END) AS alert_day FROM s JOIN mem USING (review_id) GROUP BY 1)"
+
+
+@query(f"WITH {_DELAY} SELECT *, date_diff('day', cast(first_day AS DATE), cast(alert_day AS DATE)) AS delay_days FROM dl")
+def replay_delay(spark: SparkSession, d: str) -> DataFrame:
+    s = scored_events(spark, d)
+    return evaluation.replay_delay(s, _members(s), 0.9)
+
+
+@query(f"WITH {_DELAY} SELECT h AS horizon, round(count_if(date_diff('day', cast(first_day AS DATE), cast(alert_day AS DATE)) <= h) / count(*), 6) AS recall FROM dl, (VALUES (1), (7), (30)) v(h) GROUP BY 1")
+def replay_horizons(spark: SparkSession, d: str) -> DataFrame:
+    s = scored_events(spark, d)
+    return evaluation.replay_horizons(evaluation.replay_delay(s, _members(s), 0.9))
+
+
+@query(f"WITH {_SC} SELECT cast(count_if(label = 1) AS BIGINT) AS n_positive, cast(count_if(label = 0) AS BIGINT) AS n_negative, round(least(count_if(label = 0) / count_if(label = 1), 100), 6) AS pos_weight FROM sc")
+def pos_weight(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.class_weight(scored_events(spark, d))
+
+
+def _experts(spark: SparkSession, d: str) -> DataFrame:
+    s = scored_events(spark, d)
+    return s.select("review_id", F.when(F.col("review_id") % 3 > 0, F.col("score")).alias("a"), F.when(F.col("review_id") % 4 > 0, 1 - F.col("score")).alias("b"), F.when(F.col("review_id") % 5 > 0, F.lit(0.5)).alias("c"))
+
+
+@query(f"WITH {_SC}, x AS (SELECT review_id, CASE WHEN review_id % 3 > 0 THEN score END AS a, CASE WHEN review_id % 4 > 0 THEN 1 - score END AS b, CASE WHEN review_id % 5 > 0 THEN 0.5 END AS c FROM sc) SELECT review_id, round((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0), 6) AS fused FROM x")
+def fixed_fusion(spark: SparkSession, d: str) -> DataFrame:
+    return _experts(spark, d).select("review_id", F.round(fusion.mean_available(["a", "b", "c"]), 6).alias("fused"))
+
+
+@query(f"WITH {_SC}, x AS (SELECT review_id, CASE WHEN review_id % 3 > 0 THEN exp(score) ELSE 0 END AS a, CASE WHEN review_id % 4 > 0 THEN exp(1 - score) ELSE 0 END AS b, CASE WHEN review_id % 5 > 0 THEN exp(0.5) ELSE 0 END AS c FROM sc) SELECT review_id, round(a / nullif(a + b + c, 0), 6) AS wa, round(b / nullif(a + b + c, 0), 6) AS wb, round(c / nullif(a + b + c, 0), 6) AS wc FROM x")
+def masked_softmax(spark: SparkSession, d: str) -> DataFrame:
+    e = _experts(spark, d)
+    w = fusion.masked_softmax(["a", "b", "c"], [F.col(x).isNotNull() for x in "abc"])
+    return e.select("review_id", *(F.round(x, 6).alias(n) for x, n in zip(w, ("wa", "wb", "wc"))))
+
+
+@query()
+def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
+    s = scored_events(spark, d)
+    return fusion.calibrate(s, *fusion.fit_platt(s)).select("review_id", F.round("calibrated", 6).alias("calibrated"))
+
+
+@query()
+def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.tfidf(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS fingerprint, count(DISTINCT review_id) AS n_reviews, count(*) AS n_rows FROM reviews GROUP BY 1")
+def content_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "reviews").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint"), "review_id")
+    return r.groupBy("fingerprint").agg(F.count_distinct("review_id").alias("n_reviews"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT review_id) AS n_reviews, count(DISTINCT reviewer_id) AS n_reviewers, count(DISTINCT target_id) AS n_targets, epoch_us(min(timestamp)) AS first_us, epoch_us(max(timestamp)) AS last_us FROM reviews")
+def manifest_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "reviews").agg(F.count("*").alias("n_rows"), F.count_distinct("review_id").alias("n_reviews"), F.count_distinct("reviewer_id").alias("n_reviewers"), F.count_distinct("target_id").alias("n_targets"), F.unix_micros(F.min("timestamp")).alias("first_us"), F.unix_micros(F.max("timestamp")).alias("last_us"))
+
+
+@query(
+    """SELECT cast(count_if(review_id IS NULL) AS BIGINT) AS null_ids, count(*) - count(DISTINCT review_id) AS repeated_ids, cast(count_if(rating < 1 OR rating > 5) AS BIGINT) AS bad_ratings,
+    cast(count_if((text IS NULL OR trim(text) = '') <> coalesce(text_missing, false)) AS BIGINT) AS wrong_flags FROM reviews"""
+)
+def validation_report(spark: SparkSession, d: str) -> DataFrame:
+    blank = F.col("text").isNull() | (F.trim("text") == "")
+    return table(spark, d, "reviews").agg(F.count_if(F.col("review_id").isNull()).alias("null_ids"), (F.count("*") - F.count_distinct("review_id")).alias("repeated_ids"), F.count_if((F.col("rating") < 1) | (F.col("rating") > 5)).alias("bad_ratings"), F.count_if(blank != F.coalesce("text_missing", F.lit(False))).alias("wrong_flags"))
