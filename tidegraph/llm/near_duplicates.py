@@ -23,9 +23,12 @@ from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, pack
 from tidegraph.llm.similar import check_pairs, record_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
+#: Bounds of a word's weight: no word is all but ignored, and misspelt ones don't outweigh the rest.
+WEIGHTS = (0.5, 5.3)
+
 
 def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int):
-    idf = np.log((n_texts + 2) / (df + 1)).astype(np.float64).clip(0.05)
+    weights = np.log((n_texts + 2) / (df + 1)).clip(*WEIGHTS)
     often = np.log(df + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +49,7 @@ def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int
             words, row = distinct_words(*flat(batch.column(2)))
             start = np.searchsorted(row, np.arange(len(c)))
             known, inv = np.unique(words, return_inverse=True)
-            weight, freq = idf[known % DF_SLOTS], often[known % DF_SLOTS]
+            weight, freq = weights[known % DF_SLOTS], often[known % DF_SLOTS]
             keys = np.empty((len(c), coordinates), np.uint64)
             common = np.zeros((len(c), coordinates))
             for j in range(coordinates):
