@@ -98,9 +98,8 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
         for part in range(0, len(i), CELLS):
             keep(i[part : part + CELLS], i[part : part + CELLS] + step)
         step += 1
-    words = bits & _u((1 << PARITY) - 1)
     size = _part(bits, _S0, SIZES)
-    room = np.where(size == 255, PARITY, np.ceil(size * (1 - near.jaccard) / (1 + near.jaccard))).clip(0, PARITY).astype(np.uint8)
+    room = np.where(size == 255, 64, np.ceil(size * (1 - near.jaccard) / (1 + near.jaccard))).clip(0, 64).astype(np.uint8)
     side = _part(bits, _D0, SIDES)
     for lo, hi in zip(ends[sizes > RUN] - sizes[sizes > RUN], ends[sizes > RUN]):
         own = side[lo:hi]
@@ -109,12 +108,12 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
         y = lo + np.flatnonzero(own & 2) if split else x
         if not len(x) or not len(y):
             continue
-        wy, ry = words[y], room[y]
+        wy, ry = more[y], room[y]
         rows = max(1, CELLS // len(y))
         for at in range(0, len(x), rows):
             first = 0 if split else at
             xs = x[at : at + rows]
-            near_ = np.bitwise_count(words[xs][:, None] ^ wy[None, first:]) <= room[xs][:, None] + ry[None, first:]
+            near_ = np.bitwise_count(more[xs][:, None] ^ wy[None, first:]) <= room[xs][:, None] + ry[None, first:]
             p, q = np.nonzero(near_)
             q = q + first
             if not split:
