@@ -63,6 +63,17 @@ def test_cross_split(spark):
     assert cross_split.overlap_counts(cross_split.cross_split_pairs(r, s), r, s).count() >= 1
 
 
+@pytest.mark.parametrize("train,held", [({"y"}, {f"x{i:04}" for i in range(300)}), ({f"x{i:04}" for i in range(300)}, {"x0123", "y"})])
+def test_cross_split_writes_every_copy(spark, train, held):
+    t = {f"x{i:04}": " ".join(WORDS[:20]) for i in range(300)} | {"y": " ".join(WORDS[:18])}
+    r = spark.createDataFrame([(k, v, "s") for k, v in t.items()], "review_id string, text string, source string")
+    s = spark.createDataFrame([(k, "train") for k in train] + [(k, "test") for k in held], "node_key string, role string")
+    want = {(min(a, b), max(a, b)) for a in train for b in held if a != b}
+    pairs = cross_split.cross_split_pairs(r, s)
+    assert {tuple(x) for x in pairs.collect()} == want
+    assert [(x.n_records, x.n_pairs) for x in cross_split.overlap_counts(pairs, r, s).collect()] == [(len(held), len(want))]
+
+
 def test_components_against_union_find(spark):
     rng = random.Random(4)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(50)] + [(f"m{rng.randint(0, 60)}", f"m{rng.randint(0, 60)}") for _ in range(40)] + [("z", "z"), (None, "q")]

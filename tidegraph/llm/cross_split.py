@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, pack, with_weights
-from tidegraph.llm.similar import check_pairs, record_pairs
+from tidegraph.llm.similar import across_pairs, check_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
 
@@ -127,7 +127,7 @@ def cross_split_pairs(reviews: DataFrame, splits: DataFrame, threshold: float =
     """(id_a, id_b): near-duplicate reviews of which one has a role on the left and the other one on the right."""
     sets = split_sequences(reviews, splits, min_words)
     pairs = cut(cosine_pairs(sets, threshold=threshold), "pairs")
-    return record_pairs(sets, pairs.select("a", "b"), across=True)
+    return across_pairs(sets, pairs.select("a", "b"))
 
 
 def overlap_counts(pairs: DataFrame, reviews: DataFrame, splits: DataFrame) -> DataFrame:

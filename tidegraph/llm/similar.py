@@ -68,27 +68,38 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(p) + len(q) - both)
 
 
-def record_pairs(sets: DataFrame, pairs: DataFrame, whole: int = 256, across: bool = False) -> DataFrame:
+def record_pairs(sets: DataFrame, pairs: DataFrame, whole: int = 256) -> DataFrame:
     """Pairs of records (id_a, id_b), id_a < id_b in bytes, from pairs of classes and from the copies inside a class.
 
-    Classes of up to `whole` records are written out in full. A larger class is represented: its smallest record
-    (of each side, if across) is paired with each copy and stands for it in pairs with other classes, so no link between
-    different texts is lost and the rows stay in proportion to the records. With across only pairs of sides 1 and 2 stay.
+    Classes of up to `whole` records are written out in full. A larger class is represented: its smallest record is
+    paired with each copy and stands for it in pairs with other classes, so no link between different texts is lost and
+    the rows stay in proportion to the records.
     """
-    members = sets.select("c", "id", "side").distinct()
-    size = members.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("rep"), F.min(F.when(F.col("side") == 1, F.col("id"))).alias("rep1"), F.min(F.when(F.col("side") == 2, F.col("id"))).alias("rep2"))
-    shared = size.filter("m > 1")
-    grouped = members.join(shared, "c")
-    is_rep = (F.col("id") == F.col("rep")) | (across & ((F.col("id") == F.col("rep1")) | (F.col("id") == F.col("rep2"))))
-    few = grouped.filter(f"m <= {whole}").select("c", "id", "side")
+    members = sets.select("c", "id").distinct()
+    size = members.groupBy("c").agg(F.count("*").alias("m"), F.min("id").alias("rep"))
+    grouped = members.join(size.filter("m > 1"), "c")
+    few = grouped.filter(f"m <= {whole}").select("c", "id")
     big = grouped.filter(f"m > {whole}")
-    out = [few.select("c", F.col("id").alias("i"), F.col("side").alias("si")).join(few.select("c", F.col("id").alias("j"), F.col("side").alias("sj")), "c").filter("i < j").select("i", "j", "si", "sj")]
-    star = big.select(F.col("id").alias("j"), F.col("side").alias("sj"), F.explode(F.array(F.struct(F.col("rep1").alias("i"), F.lit(1).alias("si")), F.struct(F.col("rep2").alias("i"), F.lit(2).alias("si"))) if across else F.array(F.struct(F.col("rep").alias("i"), F.lit(3).alias("si")))).alias("r"))
-    out.append(star.select("r.i", "j", "r.si", "sj").filter("i is not null and i <> j"))
-    stands = members.join(size.filter(f"m > {whole}").select("c", "rep", "rep1", "rep2"), "c", "left").filter(F.col("rep").isNull() | is_rep).select("c", "id", "side")
-    linked = pairs.join(stands.select(F.col("c").alias("a"), F.col("id").alias("i"), F.col("side").alias("si")), "a").join(stands.select(F.col("c").alias("b"), F.col("id").alias("j"), F.col("side").alias("sj")), "b")
-    out.append(linked.filter("i <> j").select("i", "j", "si", "sj"))
-    both = out[0].unionByName(out[1]).unionByName(out[2])
-    if across:
-        both = both.filter("(si & 1 = 1 and sj & 2 = 2) or (si & 2 = 2 and sj & 1 = 1)")
+    out = few.select("c", F.col("id").alias("i")).join(few.select("c", F.col("id").alias("j")), "c").filter("i < j").select("i", "j")
+    star = big.select(F.col("rep").alias("i"), F.col("id").alias("j")).filter("i <> j")
+    stands = members.join(size.filter(f"m > {whole}").select("c", "rep"), "c", "left").filter("rep is null or id = rep").select("c", "id")
+    linked = pairs.join(stands.select(F.col("c").alias("a"), F.col("id").alias("i")), "a").join(stands.select(F.col("c").alias("b"), F.col("id").alias("j")), "b")
+    both = out.unionByName(star).unionByName(linked.filter("i <> j").select("i", "j"))
     return both.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
+
+
+def across_pairs(sets: DataFrame, pairs: DataFrame, block: int = 256) -> DataFrame:
+    """All pairs of records (id_a, id_b), id_a < id_b in bytes, of sides 1 and 2, from pairs of classes and from the copies inside a class.
+
+    Every pair is written, however large the classes. The members on side 2 are split into blocks of about `block`
+    records by a hash of the id, and those on side 1 meet each block by itself, so no task writes a hot class alone.
+    """
+    members = sets.select("c", "id", "side").distinct()
+    left, right = members.filter("side & 1 = 1").select("c", F.col("id").alias("i")), members.filter("side & 2 = 2").select("c", F.col("id").alias("j"))
+    blocks = right.groupBy("c").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
+    right = right.join(blocks, "c").select(F.col("c").alias("y"), F.pmod(F.xxhash64("j"), F.col("g")).cast("int").alias("blk"), "j")
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    both = both.unionByName(blocks.select(F.col("c").alias("x"), F.col("c").alias("y"))).distinct()
+    spread = both.join(blocks.withColumnRenamed("c", "y"), "y").join(left.withColumnRenamed("c", "x"), "x").select("y", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("blk"))
+    met = spread.join(right, ["y", "blk"]).filter("i <> j")
+    return met.select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b")).distinct()
