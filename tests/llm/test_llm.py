@@ -63,6 +63,19 @@ def test_cross_split(spark):
     assert cross_split.overlap_counts(cross_split.cross_split_pairs(r, s), r, s).count() >= 1
 
 
+def test_cross_split_needs_no_shared_run(spark):
+    rng = random.Random(6)
+    t = texts(3)
+    for k in list(t)[:40]:
+        w = t[k].split()
+        w[:3] = [f"typo{k}{i}" for i in range(3)]
+        t[f"z{k}"] = " ".join(rng.sample(w, len(w)))
+    r = spark.createDataFrame([(k, v, "s") for k, v in t.items()], "review_id string, text string, source string")
+    s = spark.createDataFrame([(k, "test" if k[0] == "z" else "train") for k in t], "node_key string, role string")
+    want = {(a, b) for a, b in jaccard_pairs(t) if (a[0] == "z") != (b[0] == "z")}
+    assert {tuple(x) for x in cross_split.cross_split_pairs(r, s).collect()} == want and len(want) >= 40
+
+
 @pytest.mark.parametrize("train,held", [({"y"}, {f"x{i:04}" for i in range(300)}), ({f"x{i:04}" for i in range(300)}, {"x0123", "y"})])
 def test_cross_split_writes_every_copy(spark, train, held):
     t = {f"x{i:04}": " ".join(WORDS[:20]) for i in range(300)} | {"y": " ".join(WORDS[:18])}

@@ -1,13 +1,13 @@
 """Overlaps between splits by a weighted cosine join.
 
-A text is a vector over its runs of `run` words in a row; a run weighs the sum of its words' inverse document
-frequencies (words in fewer than one of RARE texts weigh alike, so misspelt words don't outweigh the rest), and vectors
-have length one. Terms are taken in one order for all texts, heaviest first. Residual norm: a pair whose first shared
-term stands at position i has a dot product of at most the norm from i on, so a term is posted only while that norm
-reaches `surely`; every pair with such a dot product meets, and of the others those that share a posted term. Maximum
-weight: where two postings meet, the product of the two weights plus that of the two norms after the term bounds the
-dot product, and pairs below `least` are passed over. What is left gets its exact dot product and, for near-duplicates
-as this project defines them, its exact word overlap.
+Near-duplicates, as this project defines them, share at least the threshold of all their distinct words. A text's terms
+are its distinct words, in one order for all texts, rarest first, each with the same weight. Residual norm: of two such
+texts with n and m words, each lacks at most n - threshold * n (m likewise) of the other's words, so the first shared
+word stands among so many and one more words of each, and only these are posted: every pair meets. The text with
+fewer words lacks even less (n - 2 * threshold / (1 + threshold) * n); where both words stand behind that, the pair is
+passed over. Pairs that meet get their exact word overlap, and those kept their exact dot product over runs of `run`
+words in a row; a run weighs the sum of its words' inverse document frequencies (words in fewer than one of RARE texts
+weigh alike, so misspelt words don't outweigh the rest), and vectors have length one. Word hashes have 32 bits.
 
 Defined results: null, empty and short texts, and records without a role in either side, are in no pair; repeated
 roles and deliveries count once; a record with roles on both sides stands on both; empty input gives an empty result.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, pack, with_weights
+from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, mark_late, pack
 from tidegraph.llm.similar import across_pairs, check_pairs
 from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
 from tidegraph.session import cut
@@ -55,8 +55,8 @@ def _idf(df: np.ndarray, n_texts: int) -> np.ndarray:
     return np.log((n_texts + 2) / (df + 1)).clip(0.01, np.log(RARE))
 
 
-def _post(df: np.ndarray, n_texts: int, run: int, surely: float):
-    idf = _idf(df, n_texts)
+def _post(df: np.ndarray, threshold: float):
+    less = 2 * threshold / (1 + threshold)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -73,16 +73,15 @@ def _post(df: np.ndarray, n_texts: int, run: int, surely: float):
             batch = batch.take(pa.array(new))
             c, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             words, row = flat(batch.column(2))
-            bits, more = pack(*distinct_words(words, row), len(c), side)
-            term, r, w = _terms(words, row, idf, run)
-            total = np.bincount(r, w * w, minlength=len(c))
-            done = np.cumsum(w * w)
-            before = np.append(0, np.cumsum(total))[r]
-            rest = np.sqrt(np.maximum(total[r] - (done - before), 0) / total[r])  # the norm after the term
-            weight = w / np.sqrt(total[r])
-            keep = rest**2 + weight**2 >= (surely - 1e-6) ** 2
-            term, r = term[keep], r[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(c[r]), pa.array(with_weights(bits[r], weight[keep], rest[keep]).view(np.int64)), pa.array(more[r].view(np.int64))], schema=POSTING)
+            words, row = distinct_words(words, row)
+            bits, more = pack(words, row, len(c), side)
+            words, row = words[order := np.lexsort((words, df[words % DF_SLOTS], row))], row[order]
+            n = np.bincount(row, minlength=len(c))
+            at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            keep = at <= (n - np.ceil(threshold * n - 1e-9))[row]
+            late = (at > (n - np.ceil(less * n - 1e-9))[row])[keep]
+            k, r = words[keep].astype(np.int64), row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c[r]), pa.array(mark_late(bits[r], late).view(np.int64)), pa.array(more[r].view(np.int64))], schema=POSTING)
 
     return emit
 
@@ -115,11 +114,11 @@ def split_sequences(reviews: DataFrame, splits: DataFrame, min_words: int = 12)
     return cut(s.join(role_sides(splits).withColumnRenamed("node_key", "id"), "id").select("id", "c", "side", "n", "w"), "sets")
 
 
-def cosine_pairs(sets: DataFrame, surely: float = 0.7, least: float = 0.2, run: int = 3, threshold: float = 0.7, block: int = 16384) -> DataFrame:
-    """(a, b, similarity, cosine): pairs of classes of different sides with that word overlap, and their exact dot product."""
+def cosine_pairs(sets: DataFrame, run: int = 3, threshold: float = 0.7, block: int = 16384) -> DataFrame:
+    """(a, b, similarity, cosine): all pairs of classes of different sides with that word overlap, and their exact dot product."""
     df, n = document_frequencies(sets)
-    postings = sets.select("c", "side", "w").mapInArrow(_post(df, n, run, surely), POSTING_DDL)
-    met = cut(list_pairs(postings, Filter(threshold, least), block), "candidates")
+    postings = sets.select("c", "side", "w").mapInArrow(_post(df, threshold), POSTING_DDL)
+    met = cut(list_pairs(postings, Filter(threshold), block), "candidates")
     return check_pairs(sets, met, threshold, cosine(_idf(df, n), run)).withColumnRenamed("measured", "cosine")
 
 

@@ -2,7 +2,8 @@
 
 A posting is (k, c, bits, more): the key of its list, the class of the text, and 128 bits that bound its similarity with
 any other: 110 bits of parity of the words' hashes, the number of distinct words, the sides on which the class stands,
-and the weight of the term and the norm of what follows it, both rounded up to sixteenths. The parities of two texts differ
+and whether the term is an early one. Of two similar texts that meet at the first term they share, the one with fewer
+words has it among its early ones; where no term is marked late, all count as early. The parities of two texts differ
 in at most as many bits as the texts differ in words, so no similar pair is lost in a list.
 
 A list of more than `block` postings is set aside, split into blocks by a hash of the class, and each pair of blocks is
@@ -21,29 +22,27 @@ from pyspark.sql import functions as F
 from tidegraph.llm.words import mix
 from tidegraph.session import cut, task_count
 
-PARITY, SIZES, SIDES, UNITS = 46, 8, 2, 4
+PARITY, SIZES, SIDES = 46, 8, 2
 POSTING_DDL = "k bigint, c bigint, bits bigint, more bigint"
 POSTING = pa.schema([(x, pa.int64()) for x in ("k", "c", "bits", "more")])
-_S0, _D0, _W0, _R0 = PARITY, PARITY + SIZES, PARITY + SIZES + SIDES, PARITY + SIZES + SIDES + UNITS
+_S0, _D0, _E0 = PARITY, PARITY + SIZES, PARITY + SIZES + SIDES
 _u = np.uint64
 
 
 def pack(words: np.ndarray, row: np.ndarray, n_rows: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """bits and more of each row from its distinct words (sorted by row); weight and rest are set to one."""
+    """bits and more of each row from its distinct words (sorted by row); terms are marked early."""
     start = np.searchsorted(row, np.arange(n_rows))
     size = np.diff(np.append(start, len(row)))
     at = mix(words) % _u(PARITY + 64)
     low = np.where(at < PARITY, _u(1) << np.minimum(at, _u(63)), _u(0))
     high = np.where(at < PARITY, _u(0), _u(1) << (np.maximum(at, _u(PARITY)) - _u(PARITY)))
-    ones = _u((1 << UNITS) - 1)
-    bits = np.bitwise_xor.reduceat(low, start) | (np.minimum(size, 255).astype(_u) << _u(_S0)) | (side.astype(_u) << _u(_D0)) | (ones << _u(_W0)) | (ones << _u(_R0))
+    bits = np.bitwise_xor.reduceat(low, start) | (np.minimum(size, 255).astype(_u) << _u(_S0)) | (side.astype(_u) << _u(_D0)) | (_u(1) << _u(_E0))
     return bits, np.bitwise_xor.reduceat(high, start)
 
 
-def with_weights(bits: np.ndarray, weight: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """The bits with the weight of a term (0 to 1) and the norm of the terms after it."""
-    up = lambda x: np.minimum(np.ceil(x * 16 - 1e-9), 16).clip(1).astype(_u) - _u(1)
-    return (bits & _u((1 << _W0) - 1)) | (up(weight) << _u(_W0)) | (up(rest) << _u(_R0))
+def mark_late(bits: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The bits with the terms marked that are not among the early ones of their text."""
+    return np.where(late, bits & ~(_u(1) << _u(_E0)), bits)
 
 
 def _part(bits: np.ndarray, at: int, width: int) -> np.ndarray:
@@ -51,10 +50,10 @@ def _part(bits: np.ndarray, at: int, width: int) -> np.ndarray:
 
 
 class Filter:
-    """Which pairs of postings of one list may be similar: Jaccard of word sets of at least `jaccard`, dot product of at least `dot`."""
+    """Which pairs of postings of one list may be similar: Jaccard of word sets of at least `jaccard`."""
 
-    def __init__(self, jaccard: float, dot: float = 0.0) -> None:
-        self.jaccard, self.dot = jaccard, dot
+    def __init__(self, jaccard: float) -> None:
+        self.jaccard = jaccard
 
     def __call__(self, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
         nx, ny = _part(x, _S0, SIZES), _part(y, _S0, SIZES)
@@ -64,9 +63,6 @@ class Filter:
         ok = long | ((apart <= most) & (np.minimum(nx, ny) + 1e-9 >= self.jaccard * np.maximum(nx, ny)))
         sx, sy = _part(x, _D0, SIDES), _part(y, _D0, SIDES)
         ok &= (((sx & 1) & (sy >> 1)) | ((sx >> 1) & (sy & 1))).astype(bool)
-        if self.dot:
-            bound = (_part(x, _W0, UNITS) + 1) * (_part(y, _W0, UNITS) + 1) + (_part(x, _R0, UNITS) + 1) * (_part(y, _R0, UNITS) + 1)
-            ok &= bound / 256 + 1e-9 >= self.dot
         return ok
 
 
@@ -100,7 +96,7 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
         step += 1
     size = _part(bits, _S0, SIZES)
     room = np.where(size == 255, 64, np.ceil(size * (1 - near.jaccard) / (1 + near.jaccard))).clip(0, 64).astype(np.uint8)
-    side = _part(bits, _D0, SIDES)
+    side, early = _part(bits, _D0, SIDES), _part(bits, _E0, 1).astype(bool)
     for lo, hi in zip(ends[sizes > RUN] - sizes[sizes > RUN], ends[sizes > RUN]):
         own = side[lo:hi]
         split = bool((own != 3).any())
@@ -108,19 +104,27 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
         y = lo + np.flatnonzero(own & 2) if split else x
         if not len(x) or not len(y):
             continue
-        wy, ry = more[y], room[y]
-        rows = max(1, CELLS // len(y))
-        for at in range(0, len(x), rows):
-            first = 0 if split else at
-            xs = x[at : at + rows]
-            near_ = np.bitwise_count(more[xs][:, None] ^ wy[None, first:]) <= room[xs][:, None] + ry[None, first:]
-            p, q = np.nonzero(near_)
-            q = q + first
-            if not split:
-                later = q > p + at
-                p, q = p[later], q[later]
-            if len(p):
-                keep(xs[p], y[q])
+        if split:  # two late terms are never the first that a similar pair shares
+            ex, ey = early[x], early[y]
+            parts = [(x[ex], y), (x[~ex], y[ey])]
+        else:
+            parts = [(x, y)]
+        for x, y in parts:
+            if not len(x) or not len(y):
+                continue
+            wy, ry = more[y], room[y]
+            rows = max(1, CELLS // len(y))
+            for at in range(0, len(x), rows):
+                first = 0 if split else at
+                xs = x[at : at + rows]
+                near_ = np.bitwise_count(more[xs][:, None] ^ wy[None, first:]) <= room[xs][:, None] + ry[None, first:]
+                p, q = np.nonzero(near_)
+                q = q + first
+                if not split:
+                    later = q > p + at
+                    p, q = p[later], q[later]
+                if len(p):
+                    keep(xs[p], y[q])
     none = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
