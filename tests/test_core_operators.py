@@ -5,7 +5,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.operators import asof, eager, evaluation, graph, ingest, rolling
+from tidegraph.operators import asof, eager, evaluation, graph, ingest, rings, rolling
 
 FEED = "source_file string, source_row bigint, format string, raw string, reason string"
 GOOD = "u,p,a,t,x,5,1700000000000,true"
@@ -120,6 +120,17 @@ def test_components(spark):
     assert {(r.node, r.component) for r in graph.components(e).collect()} == {(i, 0 if i <= 14 else 15) for i in range(31)}
 
 
+def test_ring_priority_counts_overlap_above_chance(spark):
+    full = [(f"r{i}{t}", f"m{i}", f"t{t}", 0, 0.5) for i in range(4) for t in range(3)]
+    apart = [(f"q{i}{t}", f"n{i}", f"u{(i + t) // 2}", 0, 0.5) for i in range(9) for t in (0, 1, 2, 3)]
+    df = spark.createDataFrame(full + apart, "review_id string, reviewer_id string, target_id string, us bigint, score double")
+    got = rings.ring_table(df).collect()
+    assert got
+    for r in got:
+        assert 0 < r.size_ref_mean < 1 and r.adjusted_overlap == pytest.approx(max(r.raw_overlap - r.size_ref_mean, 0), abs=2e-6)
+        assert r.priority == pytest.approx(0.5 * r.mean_top_score + 0.3 * min(3 * r.adjusted_overlap, 1) + 0.2 * r.synchrony, abs=2e-6)
+
+
 def test_future_events_leave_the_past_alone(spark):
     base = [(i, i % 3, i % 2, i * 3_600_000_000, 3.0) for i in range(40)]
     schema = "review_id int, reviewer_id int, target_id int, us bigint, rating double"

@@ -25,7 +25,8 @@ def bridges(scored: DataFrame, selected: DataFrame, percentile: float = 0.5) ->
 def ring_table(scored: DataFrame, top_k: int = 300, min_accounts: int = 3, min_targets: int = 2, top_m: int = 5, least_shared: int = 2, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
     """One row for each ring: members, targets, mean of the top_m scores, mean pairwise overlap, 7-day synchrony, priority.
 
-    The review budget bounds everything after it. The overlap here is raw; see shuffled_overlap() for its reference.
+    The review budget bounds everything after it. size_ref_mean is the overlap after shuffling (see shuffled_overlap()),
+    adjusted_overlap what the raw one has above it; the priority counts the adjusted one.
     """
     sel = select_top(scored, None, top_k)
     pool = sel.unionByName(bridges(scored, sel))
@@ -39,8 +40,10 @@ def ring_table(scored: DataFrame, top_k: int = 300, min_accounts: int = 3, min_t
         F.count("*").alias("n_reviews"),
         F.round(F.expr(f"aggregate(slice(sort_array(collect_list(score), false), 1, {top_m}), 0D, (s, v) -> s + v) / least(count(1), {top_m})"), 6).alias("mean_top_score"),
     ).filter(F.size("targets") >= min_targets)
-    j = g.join(_overlap(x), "component").join(synchrony(x, "component"), "component")
-    p = weights[0] * F.col("mean_top_score") + weights[1] * F.least(3 * F.col("raw_overlap"), F.lit(1.0)) + weights[2] * F.col("synchrony")
+    j = g.join(_overlap(x), "component").join(synchrony(x, "component"), "component").join(shuffled_overlap(x), "component", "left")
+    j = j.withColumn("size_ref_mean", F.coalesce("ref_overlap", F.lit(0.0))).drop("ref_overlap")
+    j = j.withColumn("adjusted_overlap", F.round(F.greatest(F.col("raw_overlap") - F.col("size_ref_mean"), F.lit(0.0)), 6))
+    p = weights[0] * F.col("mean_top_score") + weights[1] * F.least(3 * F.col("adjusted_overlap"), F.lit(1.0)) + weights[2] * F.col("synchrony")
     return j.withColumn("priority", F.round(p, 6))
 
 

@@ -236,7 +236,7 @@ def ring_projection(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ring_candidates_scored(spark: SparkSession, d: str) -> DataFrame:
-    return rings.ring_table(scored_events(spark, d)).select("component", F.size("members").alias("n_members"), F.size("targets").alias("n_targets"), "mean_top_score", "raw_overlap", "synchrony", "priority")
+    return rings.ring_table(scored_events(spark, d)).select("component", F.size("members").alias("n_members"), F.size("targets").alias("n_targets"), "mean_top_score", "raw_overlap", "size_ref_mean", "adjusted_overlap", "synchrony", "priority")
 
 
 @query(f"WITH {_EV}, d AS (SELECT target_id, us // {_D} AS day, count(*) AS n FROM ev GROUP BY 1, 2), w AS (SELECT target_id, n, sum(n) OVER (PARTITION BY target_id ORDER BY day RANGE BETWEEN CURRENT ROW AND 6 FOLLOWING) AS s FROM d) SELECT target_id, round(max(s) / sum(n), 6) AS synchrony FROM w GROUP BY 1")
