@@ -52,6 +52,17 @@ def test_feed(spark):
     assert ingest.rejected_lines(feed.filter("false")).count() == 0
 
 
+def test_reconcile_compares_reasons_and_keeps_every_file(spark):
+    bad = [("f", 1, "csv", GOOD), ("f", 2, "csv", "u,p,a"), ("f", 3, "csv", 'u,"p'), ("g", 1, "csv", "u,p,a"), ("h", 1, "csv", GOOD)]
+    feed = spark.createDataFrame(bad, "source_file string, source_row bigint, format string, raw string")
+    audits = [("f", 3, 2, 1, 0, 1, {"wrong_column_count": 1}), ("g", 1, 1, 0, 0, 1, {"missing_timestamp": 1}), ("gone", 5, 5, 5, 0, 0, {})]
+    earlier = spark.createDataFrame(audits, "source_file string, last_source_row bigint, read_rows bigint, accepted bigint, duplicates bigint, rejected bigint, reasons map<string,bigint>")
+    got = {r.source_file: r for r in ingest.reconcile(feed, earlier).collect()}
+    assert {k: r.reconciled for k, r in got.items()} == {"f": True, "g": False, "gone": False, "h": False}
+    assert got["f"].reasons == {"wrong_column_count": 1, "malformed_record": 1} and got["f"].earlier_scope_reasons == {"wrong_column_count": 1}
+    assert got["gone"].read_rows == 0 and got["gone"].earlier_read == 5
+
+
 def test_as_of_brute_force(spark):
     rng = random.Random(3)
     versions = [(i, rng.choice("abc"), rng.choice([None, *range(9)]), rng.choice([None, *range(9)])) for i in range(60)] * 2

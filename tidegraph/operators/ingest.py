@@ -271,24 +271,34 @@ def reconcile(feed: DataFrame, earlier: DataFrame) -> DataFrame:
     """The audit over whole files beside an earlier loader's, which stopped at last_source_row and passed over malformed lines.
 
     Lines up to that row are counted the same way as the earlier loader did (malformed ones left out); reconciled is
-    true where its four counters agree, and the remaining columns hold the complete counts.
+    true where its four counters and every entry of its reasons agree (a count of 0 equals an absent one). Files of the
+    feed without audit and audited files without a line in the feed come out too, not reconciled unless all is 0.
     """
-    e = earlier.select("source_file", "last_source_row", F.col("read_rows").alias("e_read"), F.col("accepted").alias("e_accepted"), F.col("duplicates").alias("e_duplicates"), F.col("rejected").alias("e_rejected"))
-    e = e.groupBy("source_file").agg(*(F.max(c).alias(c) for c in e.columns[1:]))
-    counts = classify_feed(feed).select("source_file", "source_row", "reason").join(e, "source_file", "left")
-    seen = (F.col("source_row") <= F.col("last_source_row")) & ~F.coalesce(F.col("reason") == "malformed_record", F.lit(False))
+    names = ("read_rows", "accepted", "duplicates", "rejected")
+    e = earlier.groupBy("source_file").agg(*(F.max(c).alias(f"e_{c}") for c in ("last_source_row", *names)), F.first("reasons", ignorenulls=True).alias("e_reasons"))
+    lines = classify_feed(feed).select("source_file", "source_row", "reason").join(e.select("source_file", "e_last_source_row"), "source_file", "left")
+    seen = (F.col("source_row") <= F.col("e_last_source_row")) & ~F.coalesce(F.col("reason") == "malformed_record", F.lit(False))
+    counts = lines.groupBy("source_file", "reason").agg(F.count("*").alias("n"), F.count_if(seen).alias("s"))
     dup = F.coalesce(F.col("reason") == "exact_duplicate", F.lit(False))
-    tally = lambda c: F.count_if(c)
-    out = counts.groupBy("source_file").agg(
-        F.count("*").alias("read_rows"),
-        tally(F.col("reason").isNull()).alias("accepted"),
-        tally(dup).alias("duplicates"),
-        tally(F.col("reason").isNotNull() & ~dup).alias("rejected"),
-        tally(seen).alias("s_read"),
-        tally(seen & F.col("reason").isNull()).alias("s_accepted"),
-        tally(seen & dup).alias("s_duplicates"),
-        tally(seen & F.col("reason").isNotNull() & ~dup).alias("s_rejected"),
-        *(F.max(c).alias(c) for c in ("last_source_row", "e_read", "e_accepted", "e_duplicates", "e_rejected")),
+    conds = dict(zip(names, (F.lit(True), F.col("reason").isNull(), dup, F.col("reason").isNotNull() & ~dup)))
+    tally = lambda x, cond: F.sum(F.when(cond, F.col(x)).otherwise(0)).cast("long")
+    entries = lambda x: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull() & (F.col(x) > 0), F.struct("reason", x)))))
+    c = counts.groupBy("source_file").agg(*(tally("n", k).alias(f"n_{x}") for x, k in conds.items()), *(tally("s", k).alias(f"s_{x}") for x, k in conds.items()), entries("n").alias("n_reasons"), entries("s").alias("s_reasons"))
+    out = c.withColumnRenamed("source_file", "f").join(e, F.col("f").eqNullSafe(F.col("source_file")), "full_outer").withColumn("source_file", F.coalesce("f", "source_file"))
+    zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))
+    none = F.from_json(F.lit("{}"), "map<string,bigint>")
+    full = lambda m: F.array_sort(F.map_entries(F.map_filter(F.coalesce(m, none), lambda _, v: v != 0)))
+    same = full("s_reasons") == full("e_reasons")
+    for x in names:
+        same &= zero(f"s_{x}") == F.col(f"e_{x}")
+    return out.select(
+        "source_file",
+        *(zero(f"n_{x}").alias(x) for x in names),
+        F.coalesce("n_reasons", none).alias("reasons"),
+        F.col("e_last_source_row").alias("last_source_row"),
+        zero("s_read_rows").alias("earlier_scope_read"),
+        F.col("e_read_rows").alias("earlier_read"),
+        F.coalesce("s_reasons", none).alias("earlier_scope_reasons"),
+        F.col("e_reasons").alias("earlier_reasons"),
+        F.coalesce(same, F.lit(False)).alias("reconciled"),
     )
-    same = (F.col("s_read") == F.col("e_read")) & (F.col("s_accepted") == F.col("e_accepted")) & (F.col("s_duplicates") == F.col("e_duplicates")) & (F.col("s_rejected") == F.col("e_rejected"))
-    return out.select("source_file", "read_rows", "accepted", "duplicates", "rejected", "last_source_row", F.col("s_read").alias("earlier_scope_read"), F.col("e_read").alias("earlier_read"), F.coalesce(same, F.lit(False)).alias("reconciled"))
