@@ -142,6 +142,17 @@ def test_ring_priority_counts_overlap_above_chance(spark):
         assert r.priority == pytest.approx(0.5 * r.mean_top_score + 0.3 * min(3 * r.adjusted_overlap, 1) + 0.2 * r.synchrony, abs=2e-6)
 
 
+def test_ring_projection_covers_all_reviews(spark, duck):
+    from tests.conftest import SF
+    from tidegraph.plans import core
+    from tidegraph.sources.tables import table
+
+    sql = "WITH p AS (SELECT DISTINCT reviewer_id r, target_id t FROM reviews WHERE reviewer_id IS NOT NULL AND target_id IS NOT NULL) SELECT x.r, y.r, count(*), 2 * count(*) - 1 FROM p x JOIN p y ON x.t = y.t AND x.r < y.r GROUP BY 1, 2 HAVING count(*) >= "
+    assert sorted(map(tuple, core.QUERIES["ring_projection_all"](spark, SF).collect())) == sorted(duck.execute(sql + "2").fetchall())
+    for least, how in ((2, {"block": 5, "large": 3}), (3, {"block": 7, "large": 20})):
+        assert sorted(map(tuple, graph.shared_target_pairs(table(spark, SF, "reviews"), least, **how).collect())) == sorted(duck.execute(sql + str(least)).fetchall())
+
+
 def test_future_events_leave_the_past_alone(spark):
     base = [(i, i % 3, i % 2, i * 3_600_000_000, 3.0) for i in range(40)]
     schema = "review_id int, reviewer_id int, target_id int, us bigint, rating double"

@@ -119,11 +119,33 @@ def neighbour_mean(edges: DataFrame, features: DataFrame, id_col: str, vector: s
     return m.groupBy("dst", "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.round("m", 6).alias("m")))), lambda s: s["m"]).alias("mean"))
 
 
-def shared_target_pairs(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """(a, b, shared, weight) of reviewers a < b with at least `least` targets in common; weight is 2 * shared - 1."""
-    p = pairs.select("reviewer_id", "target_id").distinct()
-    a, b = p.select(F.col("reviewer_id").alias("a"), "target_id"), p.select(F.col("reviewer_id").alias("b"), "target_id")
-    s = a.join(b, "target_id").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+def shared_target_pairs(pairs: DataFrame, least: int = 2, block: int = 2048, large: int = 64) -> DataFrame:
+    """(a, b, shared, weight) of reviewers a < b with at least `least` targets in common; weight is 2 * shared - 1.
+
+    Targets are taken rarest first. Two reviewers who share `least` targets share one that is not among the last
+    least - 1 of either, so only the others are posted: the pairs of a hot target don't meet on it alone. A pair counts
+    in the list of the first target that it shares, from the two target lists. Lists above `block` are split into blocks.
+    Reviewers of more than `large` targets are few; their pairs are counted target by target.
+    """
+    p = cut(pairs.filter("reviewer_id is not null and target_id is not null").select("reviewer_id", "target_id").distinct(), "touches")
+    n = p.groupBy("reviewer_id").agg(F.count("*").alias("n"))
+    many, own = n.filter(F.col("n") > large).select("reviewer_id"), p.join(n.filter((F.col("n") >= least) & (F.col("n") <= large)), "reviewer_id")
+    often = p.groupBy("target_id").agg(F.count("*").alias("f"))
+    lists = own.join(often, "target_id").groupBy("reviewer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "target_id"))), lambda x: x["target_id"]).alias("ts"))
+    post = cut(lists.select("reviewer_id", "ts", F.explode(F.expr(f"slice(ts, 1, size(ts) - {least - 1})")).alias("target_id")), "posted")
+    g = post.groupBy("target_id").agg(F.ceil(F.count("*") / block).cast("int").alias("g")).filter("g > 0")
+    x = post.join(g, "target_id").withColumn("blk", F.pmod(F.xxhash64("reviewer_id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    x = x.select("target_id", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "reviewer_id", "ts")
+    y = x.select("target_id", "lo", "hi", F.col("blk").alias("blk_b"), F.col("reviewer_id").alias("b"), F.col("ts").alias("tb"))
+    met = x.withColumnRenamed("reviewer_id", "a").join(y, ["target_id", "lo", "hi"]).filter("a < b and (lo = hi or blk <> blk_b)")
+    met = met.select("a", "b", "target_id", F.array_intersect("ts", "tb").alias("both")).filter(F.col("both")[0] == F.col("target_id"))
+    s = met.select("a", "b", F.size("both").cast("long").alias("shared"))
+    big = p.join(many, "reviewer_id", "left_semi").select(F.col("reviewer_id").alias("x"), "target_id")
+    # two large reviewers meet twice, once from each side; one of them counts
+    other = p.join(many.withColumn("is_large", F.lit(True)), "reviewer_id", "left").select(F.col("reviewer_id").alias("y"), "target_id", "is_large")
+    hot = big.join(other, "target_id").filter("x < y or (is_large is null and x > y)")
+    hot = hot.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared"))
+    s = s.unionByName(hot).filter(F.col("shared") >= least)
     return s.select("a", "b", "shared", (2 * F.col("shared") - 1).alias("weight"))
 
 

@@ -234,6 +234,12 @@ def ring_projection(spark: SparkSession, d: str) -> DataFrame:
     return graph.shared_target_pairs(table(spark, d, "reviews").filter("reviewer_id is not null and rating = 1"))
 
 
+@query()
+def ring_projection_all(spark: SparkSession, d: str) -> DataFrame:
+    """ring_projection over all reviews; that one is filtered as its SQL is."""
+    return graph.shared_target_pairs(table(spark, d, "reviews"))
+
+
 @query()
 def ring_candidates_scored(spark: SparkSession, d: str) -> DataFrame:
     return rings.ring_table(scored_events(spark, d)).select("component", F.size("members").alias("n_members"), F.size("targets").alias("n_targets"), "mean_top_score", "raw_overlap", "size_ref_mean", "adjusted_overlap", "synchrony", "priority")
