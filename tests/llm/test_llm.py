@@ -50,19 +50,46 @@ def test_many_copies_stay_linear(spark):
     assert callable(record_pairs)
 
 
-def test_cross_split(spark):
-    t = texts(2)
-    role = {k: random.Random(k).choice(["train", "test", "validation", "excluded", None]) for k in t}
+@pytest.mark.parametrize("how", [{}, {"often": 3, "block": 1 << 16}, {"often": 2, "block": 3}])
+def test_cross_split(spark, how):
+    t = texts(2) | {"long1": " ".join(WORDS[:200]), "long2": " ".join(WORDS[20:230]), "long3": " ".join(WORDS[40:290]), "n": None, "e": " "}
+    role = {k: random.Random(k).choice(["train", "test", "validation", "excluded", None]) for k in t} | {"long1": "train", "long2": "test", "long3": "train"}
     r = spark.createDataFrame([(k, v, "s") for k, v in t.items()], "review_id string, text string, source string")
     s = spark.createDataFrame([(k, x) for k, x in role.items() if x] * 2, "node_key string, role string")
     held = {"test", "validation"}
     want = {(a, b) for a, b in jaccard_pairs(t) if (role[a] == "train" and role[b] in held) or (role[b] == "train" and role[a] in held)}
-    got = {tuple(x) for x in cross_split.cross_split_pairs(r, s).collect()}
+    got = {tuple(x) for x in cross_split.cross_split_pairs(r, s, **how).collect()}
     assert got == want and want
     assert cross_split.cross_split_pairs(r.filter("false"), s).count() == 0
     assert cross_split.overlap_counts(cross_split.cross_split_pairs(r, s), r, s).count() >= 1
 
 
+def test_pairs_need_enough_agreeing_coordinates(spark):
+    t = texts(5)
+    sets = near_duplicates.near_duplicate_sets(spark.createDataFrame(list(t.items()), "id string, text string"), "id", "text")
+    found = [near_duplicates.signature_pairs(sets, coordinates=8, skip=0, match=m).count() for m in (1, 4, 9)]
+    assert found[0] > found[1] > found[2] == 0
+
+
+def test_split_lists_keep_every_pair():
+    from tidegraph.llm import lists
+
+    rng = np.random.default_rng(3)
+    n = 40
+    c = np.arange(n, dtype=np.int64)
+    row, words = np.repeat(np.arange(n), 12), np.tile(np.arange(12, dtype=np.uint32), n)
+    for side in (np.full(n, 3, np.int32), rng.integers(1, 3, n).astype(np.int32)):
+        bits, more = lists.pack(words, row, n, side)
+        met = []
+        for block in (1000, 3):
+            out = lists.posted(np.zeros(n, np.uint64), c, bits, more, np.full(n, n), block).to_pandas().sort_values(["k", "c"])
+            cols = [out[x].to_numpy() if x in "kc" else out[x].to_numpy().view(np.uint64) for x in ("k", "c", "bits", "more")]
+            a, b = lists._pairs(*cols, lists.Filter(0.7), lists._Tiles())
+            met.append(sorted(zip(a.tolist(), b.tolist())))
+        want = sorted((i, j) for i in range(n) for j in range(i + 1, n) if (side[i] & 1 and side[j] & 2) or (side[i] & 2 and side[j] & 1))
+        assert met[0] == met[1] == want
+
+
 def test_cross_split_needs_no_shared_run(spark):
     rng = random.Random(6)
     t = texts(3)

@@ -2,12 +2,12 @@
 
 A posting is (k, c, bits, more): the key of its list, the class of the text, and 128 bits that bound its similarity with
 any other: 110 bits of parity of the words' hashes, the number of distinct words, the sides on which the class stands,
-and whether the term is an early one. Of two similar texts that meet at the first term they share, the one with fewer
-words has it among its early ones; where no term is marked late, all count as early. The parities of two texts differ
-in at most as many bits as the texts differ in words, so no similar pair is lost in a list.
+and whether the term is an early one. Where texts meet at the first term that they share, the one with fewer words may
+have it among its late ones, but never both; where no term is marked late, all count as early. The parities of two
+texts differ in at most as many bits as the texts differ in words, so no similar pair is lost in a list.
 
-A list of more than `block` postings is set aside, split into blocks by a hash of the class, and each pair of blocks is
-a group of its own: no task holds more than two blocks of a list, however hot it is.
+A list that may outgrow `BLOCK` postings is split before the shuffle: its postings fall into blocks by a hash of the
+class, and each pair of blocks is a list of its own, so no task holds more than two blocks of a key, however hot it is.
 """
 
 from __future__ import annotations
@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.words import mix
-from tidegraph.session import cut, task_count
+from tidegraph.session import task_count
 
 PARITY, SIZES, SIDES = 46, 8, 2
+#: Postings of one list that a task compares at once, and postings for which one task is made.
+BLOCK, SHARE = 1 << 16, 2_000_000
 POSTING_DDL = "k bigint, c bigint, bits bigint, more bigint"
 POSTING = pa.schema([(x, pa.int64()) for x in ("k", "c", "bits", "more")])
 _S0, _D0, _E0 = PARITY, PARITY + SIZES, PARITY + SIZES + SIDES
+_B0, _O0 = _E0 + 1, _E0 + 2  # in the upper block of a split list; in a list that compares its block with itself
 _u = np.uint64
 
 
@@ -36,7 +39,7 @@ def pack(words: np.ndarray, row: np.ndarray, n_rows: int, side: np.ndarray) -> t
     at = mix(words) % _u(PARITY + 64)
     low = np.where(at < PARITY, _u(1) << np.minimum(at, _u(63)), _u(0))
     high = np.where(at < PARITY, _u(0), _u(1) << (np.maximum(at, _u(PARITY)) - _u(PARITY)))
-    bits = np.bitwise_xor.reduceat(low, start) | (np.minimum(size, 255).astype(_u) << _u(_S0)) | (side.astype(_u) << _u(_D0)) | (_u(1) << _u(_E0))
+    bits = np.bitwise_xor.reduceat(low, start) | (np.minimum(size, 255).astype(_u) << _u(_S0)) | (side.astype(_u) << _u(_D0)) | (_u(1) << _u(_E0)) | (_u(1) << _u(_O0))
     return bits, np.bitwise_xor.reduceat(high, start)
 
 
@@ -45,6 +48,30 @@ def mark_late(bits: np.ndarray, late: np.ndarray) -> np.ndarray:
     return np.where(late, bits & ~(_u(1) << _u(_E0)), bits)
 
 
+def posted(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, bound: np.ndarray, block: int = BLOCK) -> pa.RecordBatch:
+    """A batch of postings; bound: the most postings that the list of a key can have. Keys above the block are split."""
+    g = -(-bound.astype(np.int64) // block)
+    hot = np.flatnonzero(g > 1)
+    k = k.astype(_u)
+    if len(hot):
+        cold = np.flatnonzero(g <= 1)
+        g = g[hot]
+        own = (mix(c[hot].view(_u)) % g.astype(_u)).astype(np.int64)
+        times = g - 1
+        at = np.repeat(np.arange(len(hot)), times)
+        other = np.arange(len(at)) - (np.cumsum(times) - times)[at]
+        b = own[at]
+        other += other >= b
+        lo, hi = np.minimum(b, other), np.maximum(b, other)
+        mine = other == np.where(b < g[at] - 1, b + 1, b - 1)  # one list of each block compares it with itself
+        src = hot[at]
+        x = bits[src] & ~(_u(1) << _u(_O0)) | (b > other).astype(_u) << _u(_B0) | mine.astype(_u) << _u(_O0)
+        split = mix(mix(k[src] + lo.astype(_u)) + hi.astype(_u))
+        k, bits = np.concatenate([k[cold], split]), np.concatenate([bits[cold], x])
+        c, more = np.concatenate([c[cold], c[src]]), np.concatenate([more[cold], more[src]])
+    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), pa.array(bits.view(np.int64)), pa.array(more.view(np.int64))], schema=POSTING)
+
+
 def _part(bits: np.ndarray, at: int, width: int) -> np.ndarray:
     return ((bits >> _u(at)) & _u((1 << width) - 1)).astype(np.int64)
 
@@ -63,24 +90,56 @@ class Filter:
         ok = long | ((apart <= most) & (np.minimum(nx, ny) + 1e-9 >= self.jaccard * np.maximum(nx, ny)))
         sx, sy = _part(x, _D0, SIDES), _part(y, _D0, SIDES)
         ok &= (((sx & 1) & (sy >> 1)) | ((sx >> 1) & (sy & 1))).astype(bool)
+        ok &= (((x ^ y) >> _u(_B0)) & _u(1) | (x >> _u(_O0)) & _u(1)).astype(bool)
         return ok
 
+    def room(self, size: np.ndarray) -> np.ndarray:
+        """Share of the differing bits that a text of that size brings to a pair; two shares bound a similar pair's."""
+        return np.where(size == 255, 64, np.ceil(size * (1 - self.jaccard) / (1 + self.jaccard))).clip(0, 64).astype(np.int64)
 
-#: Runs of up to so many rows are compared one distance at a time over all runs, longer ones as a matrix in parts of at most CELLS.
-RUN, CELLS = 24, 1 << 18
 
-
-def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, near: Filter, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of equal k that pass the filter; a pair of a run may come out twice where both texts stand on both sides."""
+#: Runs of up to so many rows are compared one distance at a time over all runs, longer ones as a matrix in parts of at most CELLS.
+RUN, CELLS = 24, 1 << 16
+
+
+class _Tiles:
+    """Candidates of a matrix of 64 parity bits against as many, with one limit for each pair of rooms; its buffers are used again."""
+
+    def __init__(self) -> None:
+        self.xor, self.count, self.near = np.empty(CELLS, _u), np.empty(CELLS, np.uint8), np.empty(CELLS, bool)
+
+    def __call__(self, x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in x, in y) of the pairs that differ in at most rx + ry bits; both sides sorted by their room."""
+        ends_x, ends_y = np.flatnonzero(np.diff(rx, append=-1)) + 1, np.flatnonzero(np.diff(ry, append=-1)) + 1
+        for a, b in zip(np.append(0, ends_x[:-1]), ends_x):
+            for c, d in zip(np.append(0, ends_y[:-1]), ends_y):
+                most = int(rx[a] + ry[c])
+                for lo in range(c, d, CELLS):
+                    wide = min(d, lo + CELLS) - lo
+                    rows = max(1, CELLS // wide)
+                    for at in range(a, b, rows):
+                        high = min(b, at + rows) - at
+                        shape = (high, wide)
+                        xor, count, near = (z[: high * wide].reshape(shape) for z in (self.xor, self.count, self.near))
+                        np.bitwise_xor(x[at : at + high, None], y[None, lo : lo + wide], out=xor)
+                        np.bitwise_count(xor, out=count)
+                        np.less_equal(count, most, out=near)
+                        found = np.flatnonzero(near)
+                        if len(found):
+                            yield found // wide + at, found % wide + lo
+
+
+def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, near: Filter, tiles: _Tiles) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within runs of equal k that pass the filter, each once a run; a class stands in a run once."""
     n = len(k)
     ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, n) if n else np.empty(0, np.int64)
     sizes = np.diff(np.append(0, ends))
     a, b = [], []
 
-    def keep(p: np.ndarray, q: np.ndarray) -> None:
-        ok = near(bits[p], bits[q], more[p], more[q]) & (c[p] != c[q])
-        if block is not None:
-            ok &= block[p] != block[q]
+    def keep(p: np.ndarray, q: np.ndarray, once: np.ndarray | None = None) -> None:
+        ok = near(bits[p], bits[q], more[p], more[q]) & (p != q)
+        if once is not None:
+            ok &= once
         if ok.any():
             p, q = c[p[ok]], c[q[ok]]
             a.append(np.minimum(p, q))
@@ -94,112 +153,63 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
         for part in range(0, len(i), CELLS):
             keep(i[part : part + CELLS], i[part : part + CELLS] + step)
         step += 1
-    size = _part(bits, _S0, SIZES)
-    room = np.where(size == 255, 64, np.ceil(size * (1 - near.jaccard) / (1 + near.jaccard))).clip(0, 64).astype(np.uint8)
+    room = near.room(_part(bits, _S0, SIZES))
     side, early = _part(bits, _D0, SIDES), _part(bits, _E0, 1).astype(bool)
     for lo, hi in zip(ends[sizes > RUN] - sizes[sizes > RUN], ends[sizes > RUN]):
-        own = side[lo:hi]
-        split = bool((own != 3).any())
-        x = lo + np.flatnonzero(own & 1) if split else np.arange(lo, hi)
-        y = lo + np.flatnonzero(own & 2) if split else x
-        if not len(x) or not len(y):
-            continue
-        if split:  # two late terms are never the first that a similar pair shares
-            ex, ey = early[x], early[y]
-            parts = [(x[ex], y), (x[~ex], y[ey])]
-        else:
-            parts = [(x, y)]
-        for x, y in parts:
+        own = lo + np.argsort(room[lo:hi], kind="stable")
+        split = bool((side[own] != 3).any())
+        x, y = (own[side[own] & 1 > 0], own[side[own] & 2 > 0]) if split else (own, own)
+        # two late terms are never the first that a similar pair shares
+        for x, y in ((x[early[x]], y), (x[~early[x]], y[early[y]])) if split else ((x, y),):
             if not len(x) or not len(y):
                 continue
-            wy, ry = more[y], room[y]
-            rows = max(1, CELLS // len(y))
-            for at in range(0, len(x), rows):
-                first = 0 if split else at
-                xs = x[at : at + rows]
-                near_ = np.bitwise_count(more[xs][:, None] ^ wy[None, first:]) <= room[xs][:, None] + ry[None, first:]
-                p, q = np.nonzero(near_)
-                q = q + first
-                if not split:
-                    later = q > p + at
-                    p, q = p[later], q[later]
-                if len(p):
-                    keep(xs[p], y[q])
+            for p, q in tiles(more[x], more[y], room[x], room[y]):
+                p, q = x[p], y[q]
+                # a pair that stands on both sides on either end is met from both; it counts from one
+                keep(p, q, p < q if not split else (p < q) | (side[p] & side[q] != 3))
     none = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-_OUT = pa.schema([(x, pa.int64()) for x in ("a", "b", "k", "bits", "more")])
-_OUT_DDL = "a bigint, b bigint, k bigint, bits bigint, more bigint"
-
-
-def _found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], schema=_OUT)
-
-
-def _aside(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(k), pa.array(bits.view(np.int64)), pa.array(more.view(np.int64))], schema=_OUT)
+_OUT = pa.schema([(x, pa.int64()) for x in ("a", "b")])
 
 
-def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [batch.column(j).to_numpy() if j < 2 else batch.column(j).to_numpy().view(np.uint64) for j in range(4)]
-
-
-def _merge(near: Filter, block: int):
-    """Over rows sorted by k: pairs of each list, or the rows of a list that outgrows the block."""
+def _merge(near: Filter):
+    """Pairs of each list over rows sorted by key and class; the last list of a batch is held until it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        over: int | None = None
+        tiles = _Tiles()
+
+        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+            k, c, bits, more = rows
+            first = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+            if not first.all():  # one class from several tasks: its sides and marks are joined
+                at = np.flatnonzero(first)
+                k, c, bits, more = k[at], c[at], np.bitwise_or.reduceat(bits, at), more[at]
+            return pa.RecordBatch.from_arrays([pa.array(z) for z in _pairs(k, c, bits, more, near, tiles)], schema=_OUT)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [np.concatenate(x) for x in zip(held, _columns(batch))] if held else _columns(batch)
+            new = [batch.column(j).to_numpy() if j < 2 else batch.column(j).to_numpy().view(np.uint64) for j in range(4)]
+            rows = [np.concatenate(x) for x in zip(held, new)] if held else new
             k = rows[0]
-            starts = np.append(0, np.flatnonzero(k[1:] != k[:-1]) + 1)
-            sizes = np.diff(np.append(starts, len(k)))
-            large = sizes > block
-            if over is not None:
-                large |= k[starts] == over
-            aside = np.repeat(large, sizes)
-            if aside.any():
-                yield _aside(*(x[aside] for x in rows))
-            over = int(k[-1]) if large[-1] else None
-            tail = len(k) if large[-1] else int(starts[-1])  # the last list may go on: it is held
-            ready = ~aside[:tail]
-            a, b = _pairs(*(x[:tail][ready] for x in rows), near)
-            if len(a):
-                yield _found(a, b)
-            held = [x[tail:].copy() for x in rows] if tail < len(k) else []
+            tail = int(np.searchsorted(k, k[-1]))
+            if tail:
+                yield found([x[:tail] for x in rows])
+            held = [x[tail:].copy() for x in rows]
         if held:
-            yield _found(*_pairs(*held, near))
-
-    return run
-
-
-def _merge_blocks(near: Filter):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        c, bits, more, blk = (t.column(x).to_numpy() for x in ("c", "bits", "more", "blk"))
-        same = key[1].as_py() == key[2].as_py()
-        a, b = _pairs(np.zeros(len(c), np.int64), c, bits.view(np.uint64), more.view(np.uint64), near, None if same else blk)
-        return pa.table({"a": a, "b": b})
+            yield found(held)
 
     return run
 
 
-def list_pairs(postings: DataFrame, near: Filter, block: int = 16384) -> DataFrame:
+def list_pairs(postings: DataFrame, near: Filter, n_postings: int = 0) -> DataFrame:
     """Distinct (a, b, hits), a < b: the classes that meet in some list and pass the filter, with the number of lists in which they met.
 
-    One shuffle of the postings by key; the pairs of lists above the block come from a second, of those lists alone.
+    One shuffle of the postings by key, into at least one task for each SHARE postings.
     """
-    n = task_count(postings.sparkSession)
-    sorted_ = postings.select("k", "c", "bits", "more").repartition(n, "k").sortWithinPartitions("k", "c")
-    met = cut(sorted_.mapInArrow(_merge(near, block), _OUT_DDL), "met")
-    over = met.filter("b is null").select("k", F.col("a").alias("c"), "bits", "more").distinct()
-    sizes = over.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
-    spread = over.join(sizes, "k").withColumn("blk", F.pmod(F.xxhash64("c"), F.col("g")).cast("int"))
-    spread = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("k", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "c", "bits", "more", "blk")
-    hot = spread.groupBy("k", "lo", "hi").applyInArrow(_merge_blocks(near), "a bigint, b bigint")
-    both = met.filter("b is not null").select("a", "b").unionByName(hot)
-    return both.groupBy("a", "b").agg(F.count("*").alias("hits"))
+    n = max(task_count(postings.sparkSession), -(-n_postings // SHARE))
+    rows = postings.select("k", "c", "bits", "more").repartition(n, "k").sortWithinPartitions("k", "c")
+    return rows.mapInArrow(_merge(near), "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("hits"))

@@ -2,10 +2,11 @@
 
 A signature has `coordinates` values. Each is the combination of `width` words of the text, drawn consistently with
 chances in proportion to their weight (the rarer, the heavier), so two texts agree on a coordinate with a chance of
-their weighted overlap to the power of `width`. A text is posted under its coordinate-value pairs; texts that meet are
-counted. Prefix: two texts that agree on at least `match` coordinates also meet if each leaves out its match - 1 most
-frequent values, estimated from the words' document frequencies in one order for all texts. Skip: in the lists, pairs
-that bounds rule out are passed over, and the values left out are never merged; the exact check settles the rest.
+their weighted overlap to the power of `width`. A text is posted under its coordinate-value pairs; the lists in which two
+texts meet are counted, and pairs that meet in fewer than `match` are dropped. Prefix: texts that agree on at least
+match + skip coordinates also meet in match lists if each leaves out its `skip` most frequent values, estimated from the
+words' document frequencies in one order for all texts. Skip: in the lists, pairs that bounds rule out are passed over,
+and the values left out are never merged; the exact check settles the rest.
 
 Defined results: null, empty and short texts (below min_words distinct words) are in no pair; repeated rows of one id
 count once; an id with several texts is paired by each; copies are one class; empty input gives an empty result.
@@ -18,40 +19,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidegraph.llm.lists import POSTING, POSTING_DDL, Filter, list_pairs, pack
+from tidegraph.llm.lists import BLOCK, POSTING_DDL, Filter, list_pairs, pack, posted
 from tidegraph.llm.similar import check_pairs, record_pairs
-from tidegraph.llm.words import DF_SLOTS, distinct_words, document_frequencies, flat, mix, word_sequences
+from tidegraph.llm.words import DF_SLOTS, document_frequencies, flat, mix, new_rows, word_sets
 from tidegraph.session import cut
+
 #: Bounds of a word's weight: no word is all but ignored, and misspelt ones don't outweigh the rest.
 WEIGHTS = (0.5, 5.3)
 
 
-def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int):
+def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, skip: int, block: int):
     weights = np.log((n_texts + 2) / (df + 1)).clip(*WEIGHTS)
-    often = np.log(df + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set = set()
         for batch in batches:
-            c = batch.column(0).to_numpy()
-            new = []
-            for i, x in enumerate(c.tolist()):  # copies of one task are posted once
-                if x not in seen:
-                    seen.add(x)
-                    new.append(i)
-            if len(seen) > 500_000:
-                seen.clear()
-            if not new:
+            batch = new_rows(batch, seen)
+            if not batch.num_rows:
                 continue
-            batch = batch.take(pa.array(new))
             c, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            words, row = distinct_words(*flat(batch.column(2)))
+            words, row = flat(batch.column(2))
             start = np.searchsorted(row, np.arange(len(c)))
             known, inv = np.unique(words, return_inverse=True)
-            weight, freq = weights[known % DF_SLOTS], often[known % DF_SLOTS]
+            weight, held = weights[known % DF_SLOTS], df[known % DF_SLOTS]
+            often = np.log(held + 1.0)
             keys = np.empty((len(c), coordinates), np.uint64)
             common = np.zeros((len(c), coordinates))
+            bound = np.full((len(c), coordinates), n_texts)
             for j in range(coordinates):
                 key = np.full(len(c), j + 1, np.uint64)
                 for r in range(width):
@@ -61,26 +57,27 @@ def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, match: int
                     rank[order] = np.arange(len(known), dtype=np.int32)
                     least = order[np.minimum.reduceat(rank[inv], start)]
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + known[least].astype(np.uint64))
-                    common[:, j] += freq[least]
+                    common[:, j] += often[least]
+                    bound[:, j] = np.minimum(bound[:, j], held[least])  # a list holds no more texts than its rarest word
                 keys[:, j] = key
             bits, more = pack(words, row, len(c), side)
-            keep = np.argsort(common, axis=1, kind="stable")[:, : coordinates - match + 1]
-            k = np.take_along_axis(keys, keep, axis=1).ravel().view(np.int64)
+            keep = np.argsort(common, axis=1, kind="stable")[:, : coordinates - skip]
             many = keep.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.repeat(c, many)), pa.array(np.repeat(bits, many).view(np.int64)), pa.array(np.repeat(more, many).view(np.int64))], schema=POSTING)
+            yield posted(np.take_along_axis(keys, keep, axis=1).ravel(), np.repeat(c, many), np.repeat(bits, many), np.repeat(more, many), np.take_along_axis(bound, keep, axis=1).ravel(), block)
 
     return run
 
 
-def signature_pairs(sets: DataFrame, threshold: float = 0.7, coordinates: int = 16, width: int = 3, match: int = 2, block: int = 16384) -> DataFrame:
-    """(a, b, similarity): pairs of classes with a Jaccard of at least the threshold, among those that agree on enough coordinates."""
+def signature_pairs(sets: DataFrame, threshold: float = 0.7, coordinates: int = 20, width: int = 3, match: int = 2, skip: int = 1, block: int = BLOCK) -> DataFrame:
+    """(a, b, dot, similarity): pairs of classes with a Jaccard of at least the threshold, among those that meet in at least `match` lists."""
     df, n = document_frequencies(sets)
-    postings = sets.select("c", "side", "w").mapInArrow(_sign(df, n, coordinates, width, match), POSTING_DDL)
-    return check_pairs(sets, cut(list_pairs(postings, Filter(threshold), block), "candidates"), threshold)
+    postings = sets.select("c", "side", "w").mapInArrow(_sign(df, n, coordinates, width, skip, block), POSTING_DDL)
+    met = list_pairs(postings, Filter(threshold), n * (coordinates - skip)).filter(F.col("hits") >= match)
+    return check_pairs(sets, cut(met, "candidates"), threshold)
 
 
 def near_duplicate_sets(rows: DataFrame, id_col: str, text_col: str, min_words: int = 12) -> DataFrame:
-    return cut(word_sequences(rows, id_col, text_col, None, min_words), "sets")
+    return cut(word_sets(rows, id_col, text_col, None, min_words), "sets")
 
 
 def near_duplicate_pairs(rows: DataFrame, id_col: str, text_col: str, threshold: float = 0.7, min_words: int = 12, **how: int) -> DataFrame:
@@ -96,8 +93,6 @@ def near_duplicate_groups(rows: DataFrame, id_col: str, text_col: str, threshold
     class_id is the smallest id with the same word set; group_id that of all classes linked directly or through others;
     n_links counts the other classes that the record's class is linked to.
     """
-    from pyspark.sql import functions as F
-
     from tidegraph.llm.components import connected_components
 
     sets = near_duplicate_sets(rows, id_col, text_col, min_words)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.llm.words import flat
+
 #: Slots of the bitmap that keeps texts without any candidate out of the check's shuffle.
 END_SLOTS = 1 << 20
 
@@ -40,32 +42,34 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(batch.column(0).to_numpy())).astype(np.int32))], names=["s"])
 
 
-def check_pairs(sets: DataFrame, pairs: DataFrame, least: float, also: Callable[[np.ndarray, np.ndarray], float] | None = None) -> DataFrame:
-    """(a, b, similarity) of the pairs whose Jaccard over all their words is at least `least`; with a further measure of the two sequences, measured."""
+def check_pairs(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, dot, similarity) of the pairs whose Jaccard over all their words is at least `least`.
+
+    dot is the exact dot product of the two word vectors with weights of 1, that is the number of shared words.
+    """
     w = ends_only(sets, pairs)
     x = pairs.select("a", "b").join(w.select(F.col("c").alias("a"), F.col("w").alias("wa")), "a")
     x = x.join(w.select(F.col("c").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb")
-    names = ["a", "b", "similarity", *(["measured"] if also else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [(np.frombuffer(p.as_buffer(), "<u4"), np.frombuffer(q.as_buffer(), "<u4")) for p, q in zip(batch.column(2), batch.column(3))]
-            got = [jaccard(p, q) for p, q in both]
-            at = [i for i, s in enumerate(got) if s >= least - 1e-12]
-            keep = pa.array(at, pa.int64())
-            cols = [batch.column(0).take(keep), batch.column(1).take(keep), pa.array([got[i] for i in at], pa.float64())]
-            if also:
-                cols.append(pa.array([also(*both[i]) for i in at], pa.float64()))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return x.mapInArrow(run, "a bigint, b bigint, similarity double" + (", measured double" if also else ""))
-
-
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Shared distinct words by all distinct words."""
-    p, q = set(x.tolist()), set(y.tolist())
-    both = len(p & q)
-    return both / (len(p) + len(q) - both)
+            dot, similarity = overlaps(batch.column(2), batch.column(3))
+            keep = pa.array(np.flatnonzero(similarity >= least - 1e-12))
+            cols = [batch.column(0), batch.column(1), pa.array(dot), pa.array(similarity)]
+            yield pa.RecordBatch.from_arrays([c.take(keep) for c in cols], names=["a", "b", "dot", "similarity"])
+
+    return x.mapInArrow(run, "a bigint, b bigint, dot bigint, similarity double")
+
+
+def overlaps(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shared words, and shared by all distinct words, of the word sets of each row: one sort for a batch."""
+    (p, r), (q, s) = flat(x), flat(y)
+    n = len(x)
+    both = np.concatenate([(r.astype(np.uint64) << np.uint64(32)) | p, (s.astype(np.uint64) << np.uint64(32)) | q])
+    both.sort()
+    dot = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=n)
+    every = np.bincount(r, minlength=n) + np.bincount(s, minlength=n)
+    return dot, dot / np.maximum(every - dot, 1)
 
 
 def record_pairs(sets: DataFrame, pairs: DataFrame, whole: int = 256) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Texts as sequences of hashed words, shared by the joins on similar texts.
+"""Texts as sets of hashed words, shared by the joins on similar texts.
 
 A word is a run of letters and digits in lower case, held as 32 bits of its xxh3 hash: two different words of one pair
 of reviews share a hash with a chance of about one in a million.
@@ -7,7 +7,7 @@ of reviews share a hash with a chance of about one in a million.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ class Hashes:
         self.known: dict[str, int] = {}
         self.most = most
 
-    def of(self, words: list[str]) -> list[int]:
+    def of(self, words: Iterable[str]) -> list[int]:
         known = self.known
         if len(known) > self.most:
             known.clear()
@@ -43,12 +43,11 @@ class Hashes:
         return out
 
 
-def word_sequences(rows: DataFrame, id_col: str, text_col: str, side_col: str | None = None, min_words: int = 12, by: str = "set") -> DataFrame:
+def word_sets(rows: DataFrame, id_col: str, text_col: str, side_col: str | None = None, min_words: int = 12) -> DataFrame:
     """(id, c, side, n, w) of the texts with at least min_words distinct words.
 
-    c names the class of exact copies: the texts with one word set (by="set") or one word sequence (by="sequence").
-    w holds the word hashes in order; n the distinct words; side is 3 without a side column. No shuffle.
-    Null ids and null, empty or blank texts have no row.
+    c names the class of texts with one word set; w holds the distinct hashes of its words in rising order; side is 3 without a side column. No shuffle. Null ids and null, empty or blank
+    texts have no row.
     """
     picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), (F.col(side_col) if side_col else F.lit(3)).cast("int").alias("side"))
     picked = picked.filter("id is not null and text is not null and side > 0")
@@ -58,33 +57,39 @@ def word_sequences(rows: DataFrame, id_col: str, text_col: str, side_col: str |
         for batch in batches:
             ids, cs, sides, ns, ws = [], [], [], [], []
             for i, text, side in zip(*(c.to_pylist() for c in batch.columns)):
-                words = WORD.findall(text.lower())
-                if len(words) < min_words or len(distinct := set(words)) < min_words:
+                distinct = set(WORD.findall(text.lower()))
+                if len(distinct) < min_words:
                     continue
-                seq = np.array(hashes.of(words), dtype="<u4")
-                name = " ".join(words if by == "sequence" else sorted(distinct))
+                words = np.unique(np.array(hashes.of(distinct), dtype="<u4"))
                 ids.append(i)
-                cs.append(xxhash.xxh3_64_intdigest(name) - (1 << 63))
+                cs.append(xxhash.xxh3_64_intdigest(" ".join(sorted(distinct))) - (1 << 63))
                 sides.append(side)
-                ns.append(len(distinct))
-                ws.append(seq.tobytes())
+                ns.append(len(words))
+                ws.append(words.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, cs, sides, ns, ws), _SETS)], schema=_SETS)
 
     return picked.mapInArrow(run, SETS_DDL)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All word hashes of a binary column, and the row of each."""
-    bufs = [b.as_buffer() for b in column]
-    lens = np.array([b.size // 4 for b in bufs], dtype=np.int64)
-    words = np.concatenate([np.frombuffer(b, dtype="<u4") for b in bufs]) if bufs else np.empty(0, "<u4")
-    return words, np.repeat(np.arange(len(bufs)), lens)
-
-
-def distinct_words(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, word), sorted by row and word."""
-    both = np.unique((row.astype(np.uint64) << np.uint64(32)) | words)
-    return (both & np.uint64(0xFFFFFFFF)).astype(np.uint32), (both >> np.uint64(32)).astype(np.int64)
+    """All word hashes of a binary column, and the row of each; sorted by row, then hash."""
+    if not len(column):
+        return np.empty(0, "<u4"), np.empty(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    words = np.frombuffer(column.buffers()[2], "u1")[offsets[0] : offsets[-1]].view("<u4") if offsets[-1] > offsets[0] else np.empty(0, "<u4")
+    return words, np.repeat(np.arange(len(column)), np.diff(offsets) // 4)
+
+
+def new_rows(batch: pa.RecordBatch, seen: set, most: int = 500_000) -> pa.RecordBatch:
+    """The rows whose first two columns this task has not met yet; what it remembers is bounded."""
+    new = []
+    for i, x in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        if x not in seen:
+            seen.add(x)
+            new.append(i)
+    if len(seen) > most:
+        seen.clear()
+    return batch.take(pa.array(new, pa.int64()))
 
 
 def document_frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
@@ -93,7 +98,7 @@ def document_frequencies(sets: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(DF_SLOTS + 1, dtype=np.int64)
         for batch in batches:
-            words, _ = distinct_words(*flat(batch.column(0)))
+            words, _ = flat(batch.column(0))
             counts[:DF_SLOTS] += np.bincount(words % DF_SLOTS, minlength=DF_SLOTS)
             counts[DF_SLOTS] += batch.num_rows
         at = np.flatnonzero(counts)
