@@ -95,38 +95,47 @@ class Filter:
 
     def room(self, size: np.ndarray) -> np.ndarray:
         """Share of the differing bits that a text of that size brings to a pair; two shares bound a similar pair's."""
-        return np.where(size == 255, 64, np.ceil(size * (1 - self.jaccard) / (1 + self.jaccard))).clip(0, 64).astype(np.int64)
+        return np.where(size == 255, 64, np.ceil(size * (1 - self.jaccard) / (1 + self.jaccard))).clip(0, 64).astype(np.uint8)
 
 
-#: Runs of up to so many rows are compared one distance at a time over all runs, longer ones as a matrix in parts of at most CELLS.
-RUN, CELLS = 24, 1 << 16
+#: Runs of up to so many rows are compared one distance at a time over all runs, longer ones as a matrix in parts of at
+#: most CELLS; matrices of at least LARGE have one limit for each pair of rooms, smaller ones a limit for each cell.
+RUN, CELLS, LARGE = 24, 1 << 16, 1 << 20
 
 
 class _Tiles:
-    """Candidates of a matrix of 64 parity bits against as many, with one limit for each pair of rooms; its buffers are used again."""
+    """Candidates of a matrix of 64 parity bits against as many: those that differ in at most rx + ry bits; its buffers are used again."""
 
     def __init__(self) -> None:
-        self.xor, self.count, self.near = np.empty(CELLS, _u), np.empty(CELLS, np.uint8), np.empty(CELLS, bool)
+        self.xor, self.count, self.most, self.near = np.empty(CELLS, _u), np.empty(CELLS, np.uint8), np.empty(CELLS, np.uint8), np.empty(CELLS, bool)
 
     def __call__(self, x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions (in x, in y) of the pairs that differ in at most rx + ry bits; both sides sorted by their room."""
-        ends_x, ends_y = np.flatnonzero(np.diff(rx, append=-1)) + 1, np.flatnonzero(np.diff(ry, append=-1)) + 1
+        """Positions (in x, in y); both sides are sorted by their room."""
+        if len(x) * len(y) < LARGE:
+            yield from self._cells(x, y, 0, 0, rx, ry)
+            return
+        ends_x, ends_y = np.flatnonzero(np.diff(rx, append=0)) + 1, np.flatnonzero(np.diff(ry, append=0)) + 1
         for a, b in zip(np.append(0, ends_x[:-1]), ends_x):
             for c, d in zip(np.append(0, ends_y[:-1]), ends_y):
-                most = int(rx[a] + ry[c])
-                for lo in range(c, d, CELLS):
-                    wide = min(d, lo + CELLS) - lo
-                    rows = max(1, CELLS // wide)
-                    for at in range(a, b, rows):
-                        high = min(b, at + rows) - at
-                        shape = (high, wide)
-                        xor, count, near = (z[: high * wide].reshape(shape) for z in (self.xor, self.count, self.near))
-                        np.bitwise_xor(x[at : at + high, None], y[None, lo : lo + wide], out=xor)
-                        np.bitwise_count(xor, out=count)
-                        np.less_equal(count, most, out=near)
-                        found = np.flatnonzero(near)
-                        if len(found):
-                            yield found // wide + at, found % wide + lo
+                yield from self._cells(x[a:b], y[c:d], a, c, int(rx[a]) + int(ry[c]), None)
+
+    def _cells(self, x: np.ndarray, y: np.ndarray, px: int, py: int, most: np.ndarray | int, more: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo in range(0, len(y), CELLS):
+            wide = min(len(y), lo + CELLS) - lo
+            rows = max(1, CELLS // wide)
+            for at in range(0, len(x), rows):
+                high = min(len(x), at + rows) - at
+                xor, count, limit, near = (z[: high * wide].reshape(high, wide) for z in (self.xor, self.count, self.most, self.near))
+                np.bitwise_xor(x[at : at + high, None], y[None, lo : lo + wide], out=xor)
+                np.bitwise_count(xor, out=count)
+                if more is None:
+                    np.less_equal(count, most, out=near)
+                else:
+                    np.add(most[at : at + high, None], more[None, lo : lo + wide], out=limit)
+                    np.less_equal(count, limit, out=near)
+                found = np.flatnonzero(near)
+                if len(found):
+                    yield found // wide + (at + px), found % wide + (lo + py)
 
 
 def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, near: Filter, tiles: _Tiles) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +144,29 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
     ends = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, n) if n else np.empty(0, np.int64)
     sizes = np.diff(np.append(0, ends))
     a, b = [], []
-
-    def keep(p: np.ndarray, q: np.ndarray, once: np.ndarray | None = None) -> None:
-        ok = near(bits[p], bits[q], more[p], more[q]) & (p != q)
-        if once is not None:
-            ok &= once
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(p: np.ndarray, q: np.ndarray) -> None:
+        held.append((p, q))
+        if sum(len(x) for x, _ in held[-64:]) > CELLS or len(held) > 4096:
+            settle()
+
+    def settle() -> None:
+        if not held:
+            return
+        p, q = (np.concatenate(z) for z in zip(*held))
+        held.clear()
+        apart = np.bitwise_count((bits[p] ^ bits[q]) & _u((1 << PARITY) - 1)) + np.bitwise_count(more[p] ^ more[q])
+        some = np.flatnonzero(apart <= limit[p] + limit[q])
+        p, q = p[some], q[some]
+        ok = near(bits[p], bits[q], more[p], more[q])
         if ok.any():
             p, q = c[p[ok]], c[q[ok]]
             a.append(np.minimum(p, q))
             b.append(np.maximum(p, q))
 
+    room = near.room(_part(bits, _S0, SIZES))
+    limit = np.where(room >= 64, 127, room).astype(np.uint8)  # the sizes of the longest texts are not known
     short = np.repeat(sizes <= RUN, sizes)
     end = np.repeat(ends, sizes)
     i = np.flatnonzero(short)
@@ -153,7 +175,6 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
         for part in range(0, len(i), CELLS):
             keep(i[part : part + CELLS], i[part : part + CELLS] + step)
         step += 1
-    room = near.room(_part(bits, _S0, SIZES))
     side, early = _part(bits, _D0, SIDES), _part(bits, _E0, 1).astype(bool)
     for lo, hi in zip(ends[sizes > RUN] - sizes[sizes > RUN], ends[sizes > RUN]):
         own = lo + np.argsort(room[lo:hi], kind="stable")
@@ -166,7 +187,9 @@ def _pairs(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, nea
             for p, q in tiles(more[x], more[y], room[x], room[y]):
                 p, q = x[p], y[q]
                 # a pair that stands on both sides on either end is met from both; it counts from one
-                keep(p, q, p < q if not split else (p < q) | (side[p] & side[q] != 3))
+                ok = p < q if not split else (p < q) | ((p != q) & (side[p] & side[q] != 3))
+                keep(p[ok], q[ok])
+    settle()
     none = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 

@@ -23,30 +23,25 @@ _SETS = pa.schema([("id", pa.string()), ("c", pa.int64()), ("side", pa.int32()),
 SETS_DDL = "id string, c bigint, side int, n int, w binary"
 
 
-class Hashes:
+class Hashes(dict):
     """Word hashes, remembered up to a fixed number of words."""
 
-    def __init__(self, most: int = 200_000) -> None:
-        self.known: dict[str, int] = {}
-        self.most = most
+    most = 200_000
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
+        return h
 
     def of(self, words: Iterable[str]) -> list[int]:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        out = []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w) & 0xFFFFFFFF
-            out.append(h)
-        return out
+        if len(self) > self.most:
+            self.clear()
+        return list(map(self.__getitem__, words))
 
 
 def word_sets(rows: DataFrame, id_col: str, text_col: str, side_col: str | None = None, min_words: int = 12) -> DataFrame:
     """(id, c, side, n, w) of the texts with at least min_words distinct words.
 
-    c names the class of texts with one word set; w holds the distinct hashes of its words in rising order; side is 3 without a side column. No shuffle. Null ids and null, empty or blank
+    c names the class of texts with one set of hashes; w holds the distinct hashes of its words in rising order; side is 3 without a side column. No shuffle. Null ids and null, empty or blank
     texts have no row.
     """
     picked = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), (F.col(side_col) if side_col else F.lit(3)).cast("int").alias("side"))
@@ -55,18 +50,20 @@ def word_sets(rows: DataFrame, id_col: str, text_col: str, side_col: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            ids, cs, sides, ns, ws = [], [], [], [], []
-            for i, text, side in zip(*(c.to_pylist() for c in batch.columns)):
+            keep, sizes, every = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 distinct = set(WORD.findall(text.lower()))
-                if len(distinct) < min_words:
-                    continue
-                words = np.unique(np.array(hashes.of(distinct), dtype="<u4"))
-                ids.append(i)
-                cs.append(xxhash.xxh3_64_intdigest(" ".join(sorted(distinct))) - (1 << 63))
-                sides.append(side)
-                ns.append(len(words))
-                ws.append(words.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, cs, sides, ns, ws), _SETS)], schema=_SETS)
+                if len(distinct) >= min_words:
+                    keep.append(i)
+                    sizes.append(len(distinct))
+                    every += hashes.of(distinct)
+            both = np.unique((np.repeat(np.arange(len(keep), dtype=np.uint64), sizes) << np.uint64(32)) | np.array(every, np.uint64))
+            n = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(keep)) if keep else np.empty(0, np.int64)
+            offsets, data = np.append(0, np.cumsum(n) * 4).astype(np.int32), both.astype("<u4").tobytes()
+            w = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            c = [xxhash.xxh3_64_intdigest(data[a:b]) - (1 << 63) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at).cast(pa.string()), pa.array(c, pa.int64()), batch.column(2).take(at), pa.array(n, pa.int32()), w], schema=_SETS)
 
     return picked.mapInArrow(run, SETS_DDL)
 
