@@ -1,5 +1,5 @@
 import random
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 from itertools import permutations
 
 import pytest
@@ -102,17 +102,36 @@ def test_rolling_brute_force_and_state(spark):
         for n in (7, 30):
             x = [q for _, w, t, q in rows if w == who and t and timedelta(0) <= d - t.date() < timedelta(days=n)]
             assert r[f"n_{n}d"] == len(x) and abs(r[f"total_{n}d"] - sum(q for q in x if q)) < 1e-9
+    assert rolling.rolling_daily(df.filter("false"), "who", "ts", "id", "rating", last_day="2023-06-30").count() == 0
+
+
+def _days(states, corrected=None):
+    return {(r.entity, r.day): (r.n_7, r.n_30, r.units_7, r.units_30) for r in rolling.latest_days(states, corrected).collect() if r.n_30}
+
+
+def test_rolling_state_by_blocks_and_corrections(spark):
+    _, df = _log(spark)
     daily = rolling.daily_amounts(df, "who", "ts", "id", "rating").cache()
-    state = spark.createDataFrame([], "entity string, " + ", ".join(f"{a}_{d} bigint" for d in (7, 30) for a in ("n", "n_measured", "units")))
-    for k in range(9):
-        day = f"2023-03-{k + 1:02d}"
-        state = spark.createDataFrame(rolling.advance(state, daily, day).collect(), "entity string, " + ", ".join(f"{a}_{d} bigint" for d in (7, 30) for a in ("n", "n_measured", "units")) + ", day date, version int")
-    for r in state.collect():
-        assert (r.n_7, r.n_30) == (got[(r.entity, "2023-03-09")].n_7d, got[(r.entity, "2023-03-09")].n_30d)
-    fix = spark.sql("select 'a' entity, date'2023-03-05' day, 2L n, 0L n_measured, 0L units")
-    new = rolling.correct(state, fix).collect()
-    assert len(new) == 30 and next(r.n_7 for r in new if str(r.day) == "2023-03-09") == got[("a", "2023-03-09")].n_7d + 2
-    assert rolling.rolling_daily(df.filter("false"), "who", "ts", "id", "rating").count() == 0
+    last = date(2023, 5, 20)
+    want = _days(rolling.stored_states(daily, last, block_days=1000))
+    assert want and _days(rolling.stored_states(daily, last, block_days=11)) == want
+    # two days advanced, then a correction: only these two days change, and the next block starts from them
+    first, second = date(2023, 3, 1), date(2023, 3, 2)
+    made = lambda rows: spark.createDataFrame(rows, "entity string, day date, n bigint, n_measured bigint, units bigint")
+    base = made([("x", first, 5, 5, 50), ("x", second, 1, 1, 10)])
+    states = rolling.advance(rolling.empty_state(base, (7, 30)), base, first, second)
+    fix = rolling.correct(states, made([("x", first, 2, 2, 20)]), first, second)
+    assert {(r.day, r.n_7, r.version) for r in fix.collect()} == {(first, 7, 1), (second, 8, 1)}
+    days = _days(states, fix)
+    assert days[("x", first)][0] == 7 and days[("x", second)][0] == 8 and len(days) == 2
+    both = states.unionByName(fix)
+    closing = rolling.closing_state(both, second)
+    assert [r.n_7 for r in closing.collect()] == [8]
+    later = rolling.advance(closing, made([("x", first, 7, 7, 70), ("x", second, 1, 1, 10)]), date(2023, 3, 3), date(2023, 3, 12))
+    got = {d: n for (_, d), (n, *_) in _days(later).items()}
+    assert [got.get(date(2023, 3, k), 0) for k in (3, 7, 8, 9, 10)] == [8, 8, 1, 0, 0]
+    late = rolling.correct(states, made([("y", date(2023, 3, 9), 1, 1, 1)]), first, second)
+    assert late.count() == 0
 
 
 def test_matching_is_optimal():
@@ -148,7 +167,7 @@ def test_ring_projection_covers_all_reviews(spark, duck):
     from tidegraph.sources.tables import table
 
     sql = "WITH p AS (SELECT DISTINCT reviewer_id r, target_id t FROM reviews WHERE reviewer_id IS NOT NULL AND target_id IS NOT NULL) SELECT x.r, y.r, count(*), 2 * count(*) - 1 FROM p x JOIN p y ON x.t = y.t AND x.r < y.r GROUP BY 1, 2 HAVING count(*) >= "
-    assert sorted(map(tuple, core.QUERIES["ring_projection_all"](spark, SF).collect())) == sorted(duck.execute(sql + "2").fetchall())
+    assert sorted(map(tuple, core.QUERIES["ring_projection"](spark, SF).collect())) == sorted(duck.execute(sql + "2").fetchall())
     for least, how in ((2, {"block": 5, "large": 3}), (3, {"block": 7, "large": 20})):
         assert sorted(map(tuple, graph.shared_target_pairs(table(spark, SF, "reviews"), least, **how).collect())) == sorted(duck.execute(sql + str(least)).fetchall())
 

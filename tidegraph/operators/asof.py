@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.session import cut
+from tidegraph.session import cut, task_count
 
 
 def current_states(versions: DataFrame, entity: str, valid_us: str, known_us: str, tie: str, payload: list[str] | None = None) -> DataFrame:
@@ -36,12 +36,7 @@ def current_states(versions: DataFrame, entity: str, valid_us: str, known_us: st
     return v.select("entity", "usable_us", F.col("best.i").alias(tie), *(F.col(f"best.p{n}").alias(c) for n, c in enumerate(payload)))
 
 
-def heavy_entities(events: DataFrame, most: int = 64) -> DataFrame:
-    """The entities with most events; any entity that holds more than 1/most of all events is among them."""
-    return events.groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(most).select("entity")
-
-
-def _asof(left_cols: list[str], right_cols: list[str], how: str):
+def _asof(left_cols: list[str], right_cols: list[str]):
     import duckdb
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -51,36 +46,41 @@ def _asof(left_cols: list[str], right_cols: list[str], how: str):
             con.register("st", right)
             con.execute("SET preserve_insertion_order = false")
             cols = ", ".join([f'ev."{c}"' for c in left_cols] + [f'st."{c}"' for c in right_cols])
-            return con.sql(f"SELECT {cols} FROM ev ASOF {how} JOIN st ON ev.entity = st.entity AND ev.event_us >= st.usable_us").to_arrow_table()
+            return con.sql(f"SELECT {cols} FROM ev ASOF LEFT JOIN st ON ev.entity = st.entity AND ev.event_us >= st.usable_us").to_arrow_table()
         finally:
             con.close()
 
     return run
 
 
-def asof_join(events: DataFrame, states: DataFrame, keep: list[str], payload: list[str], how: str = "left", buckets: int | None = None, spread: int = 16) -> DataFrame:
+def asof_join(events: DataFrame, states: DataFrame, keep: list[str], payload: list[str], how: str = "left", rows: int = 250_000) -> DataFrame:
     """Each event (entity, event_us, keep...) with the state (entity, usable_us, payload...) in force at its time.
 
-    Entities are hashed to buckets. The events of heavy entities (at most 64) are spread over further buckets by a
-    hash of the row, and only their states are repeated there, so no bucket holds more than its share of a hot entity.
+    Entities are hashed to buckets of about `rows` events. The events of an entity that alone outgrows a bucket are spread
+    over as many as its count asks for by a hash of the row, and only its states are repeated there. There are fewer such
+    entities than buckets, so their list can be sent to all tasks.
     """
-    spark = events.sparkSession
     ev = events.select("entity", "event_us", *keep)
-    hot = heavy_entities(ev.select("entity").filter("entity is not null")).withColumn("hot", F.lit(spread))
-    n = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = ev.count()
+    n = max(task_count(events.sparkSession), -(-total // rows))
+    share = max(total // n, 1)
+    hot = ev.filter("entity is not null").groupBy("entity").agg(F.count("*").alias("_n")).filter(F.col("_n") > share).select("entity", F.ceil(F.col("_n") / share).cast("int").alias("hot"))
     ev = ev.join(F.broadcast(hot), "entity", "left")
-    ev = ev.withColumn("bucket", F.pmod(F.xxhash64("entity", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("event_us", *keep), F.lit(spread))).otherwise(F.lit(0))), F.lit(n)).cast("int")).drop("hot")
+    ev = ev.withColumn("bucket", F.pmod(F.xxhash64("entity", F.coalesce(F.pmod(F.xxhash64("event_us", *keep), F.col("hot")), F.lit(0)).cast("long")), F.lit(n)).cast("int")).drop("hot")
     st = states.join(F.broadcast(hot), "entity", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("hot"), F.lit(1)) - 1)))
     st = st.withColumn("bucket", F.pmod(F.xxhash64("entity", F.col("salt").cast("long")), F.lit(n)).cast("int")).select("bucket", "entity", "usable_us", *payload).distinct()
     fields = {f.name: f.dataType.simpleString() for f in [*ev.schema.fields, *st.schema.fields]}
     ddl = ", ".join(f"`{c}` {fields[c]}" for c in ["entity", "event_us", *keep, *payload])
-    out_cols = ["entity", "event_us", *keep]
-    fn = _asof(out_cols, payload, "LEFT" if how == "left" else "")
-    return ev.groupBy("bucket").cogroup(st.groupBy("bucket")).applyInArrow(lambda key, a, b: fn(key, a, b), ddl)
+    fn = _asof(["entity", "event_us", *keep], payload)
+    out = ev.groupBy("bucket").cogroup(st.groupBy("bucket")).applyInArrow(lambda key, a, b: fn(key, a, b), ddl)
+    return out if how == "left" else out.filter(F.col(payload[0]).isNotNull())
 
 
 def edges_as_known(edges: DataFrame, reviews: DataFrame, profiles: DataFrame, payload: list[str] | None = None) -> DataFrame:
-    """(src, dst, event_us, version_id, payload...): edges available at their dst review's time with the src reviewer's version known then."""
+    """(src, dst, event_us, version_id, payload...): edges available at their dst review's time with the src reviewer's version known then.
+
+    The as-of join is a left join; edges without a version are dropped after it.
+    """
     payload = payload or []
     r = reviews.select("review_id", "reviewer_id", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("us"))
     dst = r.filter("us is not null").select(F.col("review_id").alias("dst"), F.col("us").alias("event_us")).distinct()

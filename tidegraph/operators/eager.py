@@ -11,6 +11,8 @@ column names of the sides may clash, as both are renamed first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +80,21 @@ def key_history(rows: DataFrame, fields: list[str], time: str, measure: str) ->
 def heavy_keys(rows: DataFrame, fields: list[str], share: float = 0.02) -> DataFrame:
     """key_field, key_value of the non-null keys that hold at least that share of all rows.
 
-    Both inputs of the join are reduced first: rows to one count for each (field, key), and to one total for each
-    field; the compact states are joined on the field. At most 1/share keys of a field come out.
+    An eager aggregation over the join of the rows with themselves on each key, where a key of n rows on either side
+    has n * n joined rows: both inputs are reduced to a state for each key before the join, the states' counts are
+    multiplied, and the products rolled up. A key is heavy if its product reaches the square of the share of all rows.
+    """
+    keyed = _as_keys(rows, fields).select("key_field", "key_value", F.struct("key_field", "key_value").alias("key"))
+    a = join_states(keyed, "key", ["key_field", "key_value"])
+    b = join_states(keyed, "key", []).withColumnRenamed("n", "k")
+    met = a.join(b, "jk").groupBy(F.col("g_key_field").alias("key_field"), F.col("g_key_value").alias("key_value")).agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("k").cast("decimal(19,0)")).alias("n_joined"))
+    least = math.ceil(share * rows.count() - 1e-9)
+    return met.filter(F.col("n_joined") >= F.lit(str(least * least)).cast("decimal(38,0)")).select("key_field", "key_value")
+
+
+def target_pairs(reviews: DataFrame, key: str, group: str, measure: str) -> DataFrame:
+    """(group, n_rows, n_measured, mean): over all pairs of rows that share a key, by the left row's group, without joining rows.
+
+    Both sides are hot on the key: a key of n rows stands for n * n pairs, of which a task sees one row a group.
     """
-    counts = _as_keys(rows, fields).groupBy("key_field", "key_value").agg(F.count("*").alias("n"))
-    total = rows.agg(F.count("*").alias("total")).select(F.explode(F.array(*(F.lit(f) for f in fields))).alias("key_field"), "total")
-    return counts.join(F.broadcast(total), "key_field").filter(F.col("n") >= F.col("total") * share).select("key_field", "key_value")
+    return eager_join_aggregate(reviews, reviews.select(F.col(key), F.lit("all").alias("_all")), key, key, [group], ["_all"], measure).drop("_all")

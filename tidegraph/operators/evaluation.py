@@ -12,13 +12,10 @@ ROLES = ("train", "validation", "calibration", "test")
 
 
 def chronological_split(reviews: DataFrame, fractions: tuple[float, ...] = (0.6, 0.15, 0.1, 0.15)) -> DataFrame:
-    """(review_id, us, role) by rank in (us, review_id) order; ranks are running totals over ranges."""
+    """(review_id, us, role) by rank in (us, review_id) order; each role but the last gets int(n * share) rows; ranks are running totals over ranges."""
     r = reviews.select("review_id", "us", F.lit(1).alias("one"))
     n = r.count()
-    bounds, total = [], 0.0
-    for f in fractions[:-1]:
-        total += f
-        bounds.append(int(n * total + 1e-9))
+    bounds = _bounds(n, fractions)
     rank = F.col("cum_one")
     role = F.lit(ROLES[-1])
     for b, name in reversed(list(zip(bounds, ROLES))):
@@ -30,14 +27,32 @@ def split_cutoffs(split: DataFrame) -> DataFrame:
     return split.groupBy("role").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
+def _bounds(n: int, fractions: tuple[float, ...]) -> list[int]:
+    if abs(sum(fractions) - 1) > 1e-6:
+        raise ValueError("the fractions must sum to 1")
+    out, total = [], 0
+    for f in fractions[:-1]:
+        total += int(n * f)
+        out.append(total)
+    return out
+
+
 def stratified_split(rows: DataFrame, id_col: str, label: str, seed: int = 42, fractions: tuple[float, ...] = (0.6, 0.15, 0.1, 0.15)) -> DataFrame:
-    """Roles by a seeded hash within each class; rows without a label are excluded. Shares hold in expectation, without a sort."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string"), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    role, total = F.lit(ROLES[-1]), sum(fractions[:-1])
-    for f, name in reversed(list(zip(fractions[:-1], ROLES))):
-        role = F.when(u < total, name).otherwise(role)
-        total -= f
-    return rows.select(id_col, label, F.when(F.col(label).isNull(), "excluded").otherwise(role).alias("role"))
+    """Roles within each class in a seeded md5 order: int(n * share) rows each, the last role the rest; rows without a label are excluded.
+
+    Ranks come from one running total over ranges of (class, md5, id); the classes' sizes, one row each, give their starts.
+    """
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string"), F.col(id_col).cast("string")))
+    known = rows.filter(F.col(label).isNotNull()).select(id_col, label, draw.alias("_u"), F.lit(1).alias("one"))
+    sizes = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}  # a row a class
+    role, before = F.lit(ROLES[-1]), 0
+    for value in sorted(sizes):
+        rank = F.col("cum_one") - before
+        for b, name in reversed(list(zip(_bounds(sizes[value], fractions), ROLES))):
+            role = F.when((F.col(label) == F.lit(value)) & (rank <= b), name).otherwise(role)
+        before += sizes[value]
+    ranked = running_totals(known, [F.col(label), F.col("_u"), F.col(id_col)], ["one"]).select(id_col, label, role.alias("role"))
+    return ranked.unionByName(rows.filter(F.col(label).isNull()).select(id_col, label, F.lit("excluded").alias("role")))
 
 
 def leak_check(members: DataFrame, split: DataFrame) -> DataFrame:
@@ -54,8 +69,8 @@ def curve(scored: DataFrame) -> DataFrame:
     """(score, tp, fp, precision, recall, f1) at each distinct score, highest first; ties are one step."""
     s = _judged(scored).groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.count("*").alias("n"))
     c = running_totals(s, [F.desc("score")], ["p", "n"])
-    total = s.agg(F.sum("p").alias("pos"), F.sum("n").alias("all"))
-    c = c.join(F.broadcast(total))
+    total = s.agg(F.sum("p").alias("pos"), F.sum("n").alias("all")).first()
+    c = c.withColumn("pos", F.lit(total.pos).cast("long")).withColumn("all", F.lit(total["all"]).cast("long"))
     tp, m = F.col("cum_p"), F.col("cum_n")
     return c.select("score", "p", "n", "pos", "all", tp.cast("long").alias("tp"), (m - tp).cast("long").alias("fp"), (tp / m).alias("precision"), F.try_divide(tp, F.col("pos")).alias("recall"), (2 * tp / (m + F.col("pos"))).alias("f1"))
 
@@ -75,6 +90,8 @@ def ranking_summary(scored: DataFrame) -> DataFrame:
         F.round(F.sum(F.col("p") * (1 - F.col("score")) * (1 - F.col("score")) + fp_step * F.col("score") * F.col("score")) / F.max("all"), 6).alias("brier"),
         F.round(F.coalesce(F.when(F.max("pos") + at_half["tp"] + at_half["fp"] > 0, 2 * at_half["tp"] / (at_half["tp"] + at_half["fp"] + F.max("pos"))), F.lit(0.0)), 6).alias("f1_at_half"),
         F.round(F.max("f1"), 6).alias("best_f1"),
+        F.when(both, F.min_by("score", F.struct(-F.round("f1", 12), "score"))).alias("best_threshold"),
+        F.round(F.try_divide(F.max("pos"), F.max("all")), 6).alias("prevalence"),
     )
     return a
 
@@ -84,9 +101,17 @@ def at_k(scored: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     j = _judged(scored)
     w = Window.orderBy(F.desc("score"), "review_id")  # over max(ks) rows
     top = j.orderBy(F.desc("score"), "review_id").limit(max(ks)).select("label", F.row_number().over(w).alias("rn"))
-    total = j.agg(F.sum("label").alias("pos"), F.count("*").alias("all"))
+    total = j.agg(F.sum("label").alias("pos")).first().pos
     k = top.select("*", F.explode(F.array(*(F.lit(x) for x in ks))).alias("k")).filter("rn <= k").groupBy("k").agg(F.sum("label").alias("hit"), F.count("*").alias("m"))
-    return k.join(F.broadcast(total)).select("k", F.round(F.col("hit") / F.col("m"), 6).alias("precision"), F.round(F.try_divide("hit", "pos"), 6).alias("recall"))
+    return k.select("k", F.round(F.col("hit") / F.col("m"), 6).alias("precision"), F.round(F.try_divide("hit", F.lit(total).cast("long")), 6).alias("recall"))
+
+
+def classification_report(scored: DataFrame, ks: tuple[int, ...] = (100,)) -> DataFrame:
+    """(metric, value): the ranking summary, precision and recall at each k, and the rows left out for want of a score or label."""
+    row = ranking_summary(scored).first().asDict()
+    row |= {f"{m}_at_{r.k}": r[m] for r in at_k(scored, ks).collect() for m in ("precision", "recall")}
+    row["n_excluded"] = scored.count() - (row["n"] or 0)
+    return scored.sparkSession.createDataFrame([(k, None if v is None else float(v)) for k, v in row.items()], "metric string, value double")
 
 
 def reliability(scored: DataFrame, bins: int = 10) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.session import cut
+
 
 def mean_available(experts: list[str]) -> Column:
     """Mean of the available (non-null) probabilities; null if none is available."""
@@ -79,13 +81,41 @@ def train_logistic(rows: DataFrame, features: list[str], label: str = "label", c
 
 
 def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 2) -> DataFrame:
-    """(id, term, weight): lower-case words and pairs of neighbours, (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), vectors of length one."""
+    """(id, term, weight); min_df is 1 below 50 documents. Lower-case words and pairs of neighbours, (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), vectors of length one."""
     words = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     w = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array().cast("array<string>"))
     tf = w.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf, n = cut(tf, "tf"), docs.count()
+    min_df = min_df if n >= 50 else 1
     df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    n = docs.count()
     x = tf.join(df, "term").select("id", "term", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
-    norm = x.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return x.join(norm, "id").select("id", "term", F.round(F.col("x") / F.col("norm"), 6).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
+    return x.select("id", "term", F.round(F.col("x") / norm, 6).alias("weight"))
+
+
+def reduced(weights: DataFrame, most: int = 128, terms: int = 4096) -> DataFrame:
+    """(id, vector): tf-idf vectors of (id, term, weight) in at most `most` dimensions, of length one.
+
+    Singular vectors of the `terms` heaviest terms (a documented bound), from their Gram matrix; signs are fixed so that
+    each direction's largest entry is positive. Texts without any of these terms have no row.
+    """
+    import numpy as np
+
+    top = weights.groupBy("term").agg(F.sum(F.col("weight") * F.col("weight")).alias("s")).orderBy(F.desc("s"), "term").limit(terms).select("term").toArrow()["term"].to_pylist()
+    place = weights.sparkSession.createDataFrame([(t, i) for i, t in enumerate(top)], "term string, i int")
+    x = cut(weights.join(F.broadcast(place), "term").select("id", "i", "weight"), "kept")
+    gram = x.alias("a").join(x.alias("b"), "id").groupBy(F.col("a.i").alias("r"), F.col("b.i").alias("c")).agg(F.sum(F.col("a.weight") * F.col("b.weight")).alias("v")).toArrow()
+    g = np.zeros((len(top), len(top)))
+    g[gram["r"].to_numpy(), gram["c"].to_numpy()] = gram["v"].to_numpy()
+    values, vectors = np.linalg.eigh(g)
+    v = vectors[:, np.argsort(-values)[:most]]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+    rows = weights.sparkSession.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(v)], "i int, v array<double>")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    w = x.join(F.broadcast(rows), "i").select("id", array_to_vector(F.transform("v", lambda z: z * F.col("weight"))).alias("x"))
+    s = w.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("x"))).alias("s"))
+    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, z: a + z * z))
+    return s.select("id", F.transform("s", lambda z: F.when(norm > 0, z / norm).otherwise(0.0)).alias("vector"))

@@ -5,6 +5,9 @@ Edges run from an earlier whole second to a later one; events of one second see
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,12 +19,19 @@ def _seconds(reviews: DataFrame) -> DataFrame:
 
 
 def recent_edges(reviews: DataFrame, key: str, days: int, most: int, relation: str) -> DataFrame:
-    """From the `most` latest events of the same key within `days` before; one sort of the key, no self join."""
+    """From the `most` latest events of the same key within `days` before; no self join.
+
+    Time is cut into spans of `days`; an event needs only its own span and the one before, so a key's log is spread over
+    as many groups as it has spans. The frame of `most` rows before the first event of a second holds its past, and all
+    events of that second take it over: work and memory are in line with the rows.
+    """
     r = _seconds(reviews).filter(F.col(key).isNotNull())
-    w = Window.partitionBy(key).orderBy("sec").rangeBetween(-days * 86_400, -1)
-    past = F.array_sort(F.collect_list(F.struct("sec", "review_id")).over(w))
-    p = r.select(F.col("review_id").alias("dst"), past.alias("p"))
-    p = p.select("dst", F.explode(F.slice("p", F.greatest(F.size("p") - most + 1, F.lit(1)), most)).alias("s"))
+    span = F.floor(F.col("sec") / (days * 86_400)).cast("long")
+    r = r.select("review_id", F.col(key).alias("key"), "sec", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("s")).select("review_id", "key", "sec", "s.*")
+    w = Window.partitionBy("key", "span").orderBy("sec", "review_id")
+    past = F.collect_list(F.struct("sec", "review_id")).over(w.rowsBetween(-most, -1))
+    r = r.withColumn("p", past).withColumn("p", F.first("p").over(Window.partitionBy("key", "span", "sec").orderBy("review_id"))).filter("own")
+    p = r.select(F.col("review_id").alias("dst"), F.col("sec").alias("at"), F.explode("p").alias("s")).filter(F.col("s.sec") >= F.col("at") - days * 86_400)
     return p.select(F.col("s.review_id").alias("src"), "dst", F.lit(relation).alias("relation"), F.col("s.sec").alias("available_at"))
 
 
@@ -108,15 +118,83 @@ def sample_neighbours(edges: DataFrame, fanout: int = 10, seed: int = 42) -> Dat
     few = e.filter(F.col("deg") <= fanout).select("relation", "src", "dst")
     many = e.filter(F.col("deg") > fanout)
     draws = many.select("relation", "dst", "deg").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(fanout))))
-    draws = draws.select("relation", "dst", F.pmod(F.xxhash64(F.lit(seed), "relation", "dst", "draw"), F.col("deg")).cast("int").alias("at")).distinct()
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "relation", F.col("dst").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = draws.select("relation", "dst", F.pmod(u, F.col("deg")).cast("int").alias("at")).distinct()
     return few.unionByName(many.join(draws, ["relation", "dst", "at"]).select("relation", "src", "dst"))
 
 
 def neighbour_mean(edges: DataFrame, features: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(dst, relation, mean): element-wise mean of the in-neighbours' vectors, as partial sums by position."""
-    x = edges.join(features.select(F.col(id_col).alias("src"), F.posexplode(vector).alias("pos", "x")), "src")
-    m = x.groupBy("dst", "relation", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return m.groupBy("dst", "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.round("m", 6).alias("m")))), lambda s: s["m"]).alias("mean"))
+    """(dst, relation, mean): element-wise mean of the in-neighbours' vectors; sums are combined before they move, so a hub costs a vector a task."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = edges.select("relation", "src", "dst").join(features.select(F.col(id_col).alias("src"), array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("x")), "src")
+    return x.groupBy("dst", "relation").agg(vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
+
+
+def relational_layer(edges: DataFrame, features: DataFrame, weights: dict, relu: bool = True) -> DataFrame:
+    """(review_id, h): for each node its own vector times weights["self"], plus the mean over the relations that reach it of
+    their neighbours' mean times weights[relation], plus weights["bias"]; negative values become 0 where relu is set.
+
+    features: (review_id, h). The weights are a few matrices; rows pass through Arrow batches.
+    """
+    import numpy as np
+
+    names = sorted(k for k in weights if k not in ("self", "bias"))
+    held = features.sparkSession.sparkContext.broadcast({k: np.asarray(v, dtype=np.float64) for k, v in weights.items()})
+    m = neighbour_mean(edges.filter(F.col("relation").isin(*names)), features, "review_id", "h").groupBy(F.col("dst").alias("review_id"))
+    m = m.agg(*(F.first(F.when(F.col("relation") == n, F.col("mean")), ignorenulls=True).alias(f"m{i}") for i, n in enumerate(names)))
+    x = features.select("review_id", "h").join(m, "review_id", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.array(b.column(1).to_pylist(), dtype=np.float64)
+            reached, total = np.zeros(len(own)), np.zeros((len(own), w["self"].shape[1]))
+            for i, n in enumerate(names):
+                at = np.flatnonzero(b.column(2 + i).is_valid().to_numpy(zero_copy_only=False))
+                if len(at):
+                    total[at] += np.array(b.column(2 + i).take(pa.array(at)).to_pylist(), dtype=np.float64) @ w[n]
+                    reached[at] += 1
+            out = own @ w["self"] + total / np.maximum(reached, 1)[:, None] + w.get("bias", 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(np.maximum(out, 0) if relu else out), pa.list_(pa.float64()))], names=["review_id", "h"])
+
+    return x.mapInArrow(run, f"review_id {dict(features.dtypes)['review_id']}, h array<double>")
+
+
+def relational_stack(edges: DataFrame, features: DataFrame, layers: list[dict], head: tuple[list[float], float]) -> DataFrame:
+    """(review_id, logit): the layers one after the other, each over its own edges written once, and a linear head."""
+    h = features.select("review_id", "h")
+    for w in layers:
+        h = cut(relational_layer(edges, h, w), "layer")
+    weight, bias = F.array(*(F.lit(float(x)) for x in head[0])), float(head[1])
+    return h.select("review_id", (F.aggregate(F.zip_with("h", weight, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) + bias).alias("logit"))
+
+
+def of_relation(edges: DataFrame, *relations: str) -> DataFrame:
+    return edges.filter(F.col("relation").isin(*relations))
+
+
+def layer_samples(edges: DataFrame, seeds: DataFrame, fanouts: tuple[int, ...] = (10, 5), seed: int = 42) -> DataFrame:
+    """(layer, relation, src, dst): sampled in-edges of the seeds, then of what they reach, with a fanout for each layer (the last layer first)."""
+    if not fanouts or any(f < 1 for f in fanouts):
+        raise ValueError("a positive fanout for each layer is needed")
+    frontier, out = seeds.select(F.col("review_id").alias("dst")).distinct(), None
+    for layer in range(len(fanouts), 0, -1):
+        step = cut(sample_neighbours(edges.join(frontier, "dst", "left_semi"), fanouts[len(fanouts) - layer], seed + layer).select(F.lit(layer).alias("layer"), "relation", "src", "dst"), "sampled")
+        out = step if out is None else out.unionByName(step)
+        frontier = frontier.unionByName(step.select(F.col("src").alias("dst"))).distinct()
+    return out
+
+
+def receptive_field(edges: DataFrame, seeds: DataFrame, hops: int = 2, max_edges: int = 100) -> DataFrame:
+    """The first max_edges edges, in (available_at, src, dst, relation) order, on paths of up to `hops` steps into the seeds."""
+    e = edges.select("src", "dst", "relation", "available_at")
+    near = upstream(e, seeds, hops)
+    e = e.groupBy("src", "dst", "relation").agg(F.min("available_at").alias("available_at"))
+    return e.join(near, ["src", "dst", "relation"]).orderBy("available_at", "src", "dst", "relation").limit(max_edges)
 
 
 def shared_target_pairs(pairs: DataFrame, least: int = 2, block: int = 2048, large: int = 64) -> DataFrame:

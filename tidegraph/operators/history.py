@@ -1,7 +1,12 @@
 """Strict-past behavioural features of reviewers and targets.
 
-Frames end one microsecond before the event, so events at one instant see the same past. A reviewer's or target's
-window is sorted once and shared by all its features.
+Events at one instant see the same past. Counts over trailing days are differences of two running counts, so a key costs
+time in line with its events, however dense they are. Means and distinct counts look at the last `cap` earlier events
+of a key: the frame of that many rows before the first event of an instant holds just these, and all events of the
+instant take it over. Gaps are capped on their own: the last `cap` gaps, not the gaps of the last events.
+
+Defined results: features without a past are null, counts are 0; a null reviewer or target is a key of its own, as in
+the log; null ratings count as events and not in means; an empty log gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,67 +18,71 @@ DAY = 86_400_000_000
 COUNTS = ("rev_count_1d", "rev_count_7d", "rev_count_30d", "prior_unique_targets", "prior_reviews_31d", "target_volume_prior", "target_reviewer_volume_prior", "reviewer_prior_rating_count", "target_burst_24h", "reviewer_burst_24h")
 SECONDS = ("last_gap_s", "interarrival_std_s", "interarrival_mean_s", "time_since_target_prev_s")
 SIGNED = ("rating_minus_reviewer_prior_mean", "target_prior_mean_rating")
+#: Fixed value: the features that the gate sees as context, in its order.
+CONTEXT = ("rev_count_7d", "rev_count_30d", "target_volume_prior", "last_gap_s")
+
 
+def _before(key: str, days: int = 0):
+    """All events of the key more than `days` days and at least a microsecond earlier."""
+    return Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, -days * DAY - 1)
 
-def _past(key: str, days: int | None = None):
-    return Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding if days is None else -days * DAY, -1)
+
+def _within(key: str, days: int) -> Column:
+    return F.count("*").over(_before(key)) - F.count("*").over(_before(key, days))
 
 
 def gaps(reviews: DataFrame) -> DataFrame:
     """With gap_s: time since the reviewer's event before this one in (time, id) order, null after more than 30 days."""
-    w = Window.partitionBy("reviewer_id").orderBy("us", "review_id")
-    before = F.lag("us").over(w)
+    before = F.lag("us").over(Window.partitionBy("reviewer_id").orderBy("us", "review_id"))
     return reviews.withColumn("gap_s", F.when(before >= F.col("us") - 30 * DAY, (F.col("us") - before) / 1e6))
 
 
+def _gap_state(reviews: DataFrame, cap: int) -> DataFrame:
+    """With _gap: (number of gaps so far, this gap, mean and deviation of the last `cap`) on the events that close a gap."""
+    order = Window.partitionBy("reviewer_id", F.col("gap_s").isNotNull()).orderBy("us", "review_id")
+    last = order.rowsBetween(1 - cap, 0)
+    state = F.struct(F.row_number().over(order).alias("n"), F.col("gap_s").alias("gap"), F.avg("gap_s").over(last).alias("mean"), F.stddev_pop("gap_s").over(last).alias("std"))
+    return gaps(reviews).withColumn("_gap", F.when(F.col("gap_s").isNotNull(), state))
+
+
+def _capped(rows: DataFrame, key: str, other: str, prefix: str, cap: int) -> DataFrame:
+    """With <prefix>_mean and <prefix>_distinct over the last `cap` earlier events of the key."""
+    recent = Window.partitionBy(key).orderBy("us", "review_id").rowsBetween(-cap, -1)
+    instant = Window.partitionBy(key, "us").orderBy("review_id")
+    x = rows.withColumn("_m", F.avg("rating").over(recent)).withColumn("_d", F.size(F.collect_set(other).over(recent)).cast("long"))
+    return x.withColumn(f"{prefix}_mean", F.first("_m").over(instant)).withColumn(f"{prefix}_distinct", F.first("_d").over(instant)).drop("_m", "_d")
+
+
 def history(reviews: DataFrame, cap: int = 512) -> DataFrame:
-    """The features of each event; null means missing.
-
-    Exact while no key has more than `cap` earlier events; check with over_cap() and use capped_means() beyond that.
-    Distinct counts hold the distinct values of a key's past in memory.
-    """
-    u, t = (lambda d=None: _past("reviewer_id", d)), (lambda d=None: _past("target_id", d))
-    n_past = F.count("*").over(u())
-    g = gaps(reviews)
-    last = F.max_by("gap_s", F.struct("us", "review_id")).over(u())
+    """The features of each event (review_id, reviewer_id, target_id, us, rating); null means missing."""
+    u, t = "reviewer_id", "target_id"
+    g = _gap_state(reviews.select("review_id", u, t, "us", "rating"), cap)
+    g = _capped(_capped(g, u, t, "_u", cap), t, u, "_t", cap)
+    n_past, seen, since = F.count("*").over(_before(u)), F.max("us").over(_before(u)), F.max("us").over(_before(t))
+    gap = F.max("_gap").over(_before(u))
+    g = g.withColumn("_g", gap)
     return g.select(
         "review_id",
-        F.count("*").over(u(1)).alias("rev_count_1d"),
-        F.count("*").over(u(7)).alias("rev_count_7d"),
-        F.count("*").over(u(30)).alias("rev_count_30d"),
-        F.when(F.count("gap_s").over(u()) >= 1, F.coalesce(last, F.last("gap_s", ignorenulls=True).over(u()))).alias("last_gap_s"),
-        F.when(F.count("gap_s").over(u()) >= 2, F.stddev_pop("gap_s").over(u())).alias("interarrival_std_s"),
-        F.when(F.count("gap_s").over(u()) >= 2, F.avg("gap_s").over(u())).alias("interarrival_mean_s"),
-        F.size(F.collect_set("target_id").over(u())).cast("long").alias("prior_unique_targets"),
-        F.count("*").over(u(30)).alias("prior_reviews_31d"),
-        F.count("*").over(t(30)).alias("target_volume_prior"),
-        F.size(F.collect_set("reviewer_id").over(t())).cast("long").alias("target_reviewer_volume_prior"),
-        ((F.col("us") - F.max("us").over(t(30))) / 1e6).alias("time_since_target_prev_s"),
-        (F.col("rating") - F.avg("rating").over(u())).alias("rating_minus_reviewer_prior_mean"),
+        _within(u, 1).alias("rev_count_1d"),
+        _within(u, 7).alias("rev_count_7d"),
+        _within(u, 30).alias("rev_count_30d"),
+        F.col("_g.gap").alias("last_gap_s"),
+        F.when(F.col("_g.n") >= 2, F.col("_g.std")).alias("interarrival_std_s"),
+        F.when(F.col("_g.n") >= 2, F.col("_g.mean")).alias("interarrival_mean_s"),
+        F.col("_u_distinct").alias("prior_unique_targets"),
+        _within(u, 30).alias("prior_reviews_31d"),
+        _within(t, 30).alias("target_volume_prior"),
+        F.col("_t_distinct").alias("target_reviewer_volume_prior"),
+        F.when(since >= F.col("us") - 30 * DAY, (F.col("us") - since) / 1e6).alias("time_since_target_prev_s"),
+        (F.col("rating") - F.col("_u_mean")).alias("rating_minus_reviewer_prior_mean"),
         F.when(n_past > 0, F.least(n_past, F.lit(cap))).alias("reviewer_prior_rating_count"),
-        F.avg("rating").over(t()).alias("target_prior_mean_rating"),
-        F.count("*").over(t(1)).alias("target_burst_24h"),
-        F.count("*").over(u(1)).alias("reviewer_burst_24h"),
-        ((F.col("us") - F.max("us").over(u())) / 1e6).alias("time_since_prev_s"),
+        F.col("_t_mean").alias("target_prior_mean_rating"),
+        _within(t, 1).alias("target_burst_24h"),
+        _within(u, 1).alias("reviewer_burst_24h"),
+        ((F.col("us") - seen) / 1e6).alias("time_since_prev_s"),
     )
 
 
-def over_cap(reviews: DataFrame, cap: int = 512) -> DataFrame:
-    """Keys with more than cap events, for which history() is not exact."""
-    keyed = reviews.select(F.explode(F.array(F.struct(F.lit("reviewer_id").alias("field"), F.col("reviewer_id").cast("string").alias("key")), F.struct(F.lit("target_id").alias("field"), F.col("target_id").cast("string").alias("key")))).alias("k")).select("k.*")
-    return keyed.groupBy("field", "key").agg(F.count("*").alias("n")).filter(F.col("n") > cap)
-
-
-def capped_means(reviews: DataFrame, key: str, value: str, cap: int = 512) -> DataFrame:
-    """Mean of the last `cap` strictly earlier values of a key: prefix sums looked up at two positions of the key."""
-    w = Window.partitionBy(key).orderBy("us", "review_id")
-    r = reviews.select("review_id", key, "us", value).withColumn("rn", F.row_number().over(w)).withColumn("s", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.count("*").over(_past(key)))
-    at = r.select(F.col(key).alias("k"), F.col("rn").alias("at"), F.col("s").alias("sum"))
-    hi, lo = at.alias("hi"), at.alias("lo")
-    j = r.join(hi, (F.col(key) == F.col("hi.k")) & (F.col("n") == F.col("hi.at")), "left").join(lo, (F.col(key) == F.col("lo.k")) & (F.col("n") - cap == F.col("lo.at")), "left")
-    return j.select("review_id", ((F.col("hi.sum") - F.coalesce(F.col("lo.sum"), F.lit(0.0))) / F.least("n", F.lit(cap))).alias("capped_mean"))
-
-
 def _logged(name: str) -> Column:
     return F.log1p(F.greatest(F.col(name).cast("double"), F.lit(0.0))) if name in COUNTS or name in SECONDS else F.col(name).cast("double")
 
@@ -92,3 +101,14 @@ def scale(features: DataFrame, train: DataFrame, names: tuple[str, ...] = COUNTS
         width = (q[2] - q[0]) / 1.349 or row[f"s_{n}"] or 0.0
         cols.append(F.coalesce((F.col(n) - q[1]) / max(width, 1e-6), F.lit(0.0)).alias(n))
     return x.select("review_id", *cols)
+
+
+def gate_context(scaled: DataFrame) -> DataFrame:
+    """(review_id, context): the gate's four scaled features as one array."""
+    return scaled.select("review_id", F.array(*CONTEXT).alias("context"))
+
+
+def missing_flags(features: DataFrame, names: tuple[str, ...] = COUNTS + SECONDS + SIGNED) -> DataFrame:
+    """(review_id, missing, available): a 0/1 flag for each feature, and whether any feature was observed (counts always are)."""
+    flags = [F.col(n).isNull().cast("int") for n in names]
+    return features.select("review_id", F.array(*flags).alias("missing"), (sum(flags) < len(names)).alias("available"))

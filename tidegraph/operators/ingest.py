@@ -1,11 +1,13 @@
 """Loading raw feeds: rows that fail to parse come out with the reason, the rest load.
 
-Records are parsed per partition with Python's strict csv reader and a strict JSON decoder; structural exceptions are
-caught before any typed field is built. Duplicates are found afterwards over fingerprints of parsed values.
+Physical lines become records first (records()): where a feed allows line breaks inside quotes, an open quote is carried
+to the line that closes it. Records are parsed per partition with Python's strict csv reader and a strict JSON decoder;
+structural exceptions are caught before any typed field is built. The parsed table is written once; duplicates are found
+over its fingerprints of parsed values.
 
 Defined results: an empty feed gives empty outputs; a null or blank line is neither loaded nor reported; a line of an
 unknown or null format is parsed by its look (a leading brace: JSON, else CSV); ties of source_row inside one file are
-ordered by the raw line; extra columns of the input are ignored, whatever their names.
+ordered by a hash of the raw line; extra columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.session import cut
+
 #: Field order of a CSV line, reasons in the order in which they apply, plausible epoch milliseconds.
 FIELDS = ("user_id", "parent_asin", "asin", "title", "text", "rating", "timestamp", "verified_purchase")
 REASONS = ("malformed_record", "not_an_object", "wrong_column_count", "missing_required_ids", "missing_timestamp", "rating_out_of_range", "exact_duplicate", "implausible_timestamp")
@@ -201,25 +205,65 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_PARSED), _PARSED)], schema=_PARSED)
 
 
-def parse_feed(feed: DataFrame) -> DataFrame:
-    """Every non-blank line of a feed (source_file, source_row, format, raw) with its reason or its typed fields; no shuffle."""
-    return feed.select("source_file", "source_row", "format", "raw").mapInArrow(_parse_batches, PARSED_DDL)
+def records(feed: DataFrame, line_breaks: bool = False, most_lines: int = 1000) -> DataFrame:
+    """Lines (source_file, source_row, format, raw) as records.
+
+    Without line_breaks, as in a feed that declares none, each line is a record. With them, a CSV line with an odd number
+    of quotes opens a record that ends with the file's next such line, at most most_lines below; if the joined lines
+    parse they are one record under the first line's number, else each stays a record of its own. Only lines with an odd
+    number of quotes are sorted, by file; the lines between are found by a join.
+    """
+    feed = feed.select("source_file", "source_row", "format", "raw")
+    if not line_breaks:
+        return feed
+    odd = feed.filter((F.col("format") == "csv") & (F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))).bitwiseAND(1).cast("boolean"))
+    w = Window.partitionBy("source_file").orderBy("source_row")
+    spans = odd.select("source_file", F.col("source_row").alias("a"), F.lead("source_row").over(w).alias("b")).filter(F.col("b") - F.col("a") <= most_lines)
+    lines = feed.filter("raw is not null").alias("f").join(spans.alias("s"), (F.col("f.source_file") == F.col("s.source_file")) & F.col("source_row").between(F.col("a"), F.col("b")))
+    joined = lines.groupBy("s.source_file", "a", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", "raw"))), lambda x: x["raw"]), "\n").alias("raw"))
+    whole = cut(joined.mapInArrow(_whole, "source_file string, a bigint, b bigint, raw string"), "spanning")
+    # a line may close one span and open the next; the earlier one counts
+    whole = whole.withColumn("before", F.lag("b").over(Window.partitionBy("source_file").orderBy("a"))).filter("before is null or before < a").drop("before")
+    used = whole.select("source_file", F.explode(F.sequence("a", "b")).alias("source_row"))
+    return feed.join(used, ["source_file", "source_row"], "left_anti").select(feed.columns).unionByName(whole.select("source_file", F.col("a").alias("source_row"), F.lit("csv").alias("format"), "raw"))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans whose lines, put together by assemble(), are one record that parses."""
+    csv.field_size_limit(sys.maxsize)
+    for batch in batches:
+        keep = []
+        for i, raw in enumerate(batch.column(3).to_pylist()):
+            got = list(assemble(iter(raw.split("\n"))))
+            if len(got) == 1 and parse_line("csv", got[0])[0] is None:
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def parse_feed(feed: DataFrame, line_breaks: bool = False) -> DataFrame:
+    """Every non-blank record of a feed (source_file, source_row, format, raw) with its reason or its typed fields; no shuffle where each line is a record."""
+    return records(feed, line_breaks).mapInArrow(_parse_batches, PARSED_DDL)
 
 
-def classify_feed(feed: DataFrame, salts: int = 16) -> DataFrame:
+def classify_feed(feed: DataFrame, line_breaks: bool = False, share: int = 200_000) -> DataFrame:
     """parse_feed() with exact_duplicate set; reason is null for the lines that load.
 
-    The first line of each (source_file, fingerprint) is a min() with map-side combine; only fingerprints that occur
-    twice are joined back, to salted rows, so that one record repeated over a third of a feed stays spread out.
+    The feed is parsed once. The first line of each (source_file, fingerprint) is a min() with map-side combine; only
+    fingerprints that occur twice are joined back. If one of them has more than `share` lines, both sides are salted by its
+    count, so that a record repeated over a third of a feed stays spread out.
     """
-    parsed = parse_feed(feed).withColumn("_rank", F.struct("source_row", "raw"))
-    first = parsed.filter("fingerprint is not null").groupBy("source_file", "fingerprint").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = parsed.withColumn("_salt", F.pmod(F.xxhash64("source_row", "raw"), F.lit(salts)).cast("int")).alias("r")
-    f = first.alias("f")
+    parsed = cut(parse_feed(feed, line_breaks).withColumn("_rank", F.struct("source_row", F.xxhash64("raw"))), "parsed")
+    first = parsed.filter("fingerprint is not null").groupBy("source_file", "fingerprint").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    first = cut(first, "repeated")
+    most = first.agg(F.max("_n").alias("n")).first().n or 1
+    salts = -(-most // share)
+    f = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).alias("f")
+    rows = parsed.filter("fingerprint is not null").withColumn("_salt", F.pmod(F.xxhash64("_rank"), F.lit(salts)).cast("int")).alias("r")
     joined = rows.join(f, F.col("r.source_file").eqNullSafe(F.col("f.source_file")) & (F.col("r.fingerprint") == F.col("f.fingerprint")) & (F.col("r._salt") == F.col("f._salt")), "left")
     later = F.col("f._first").isNotNull() & (F.col("r._rank") > F.col("f._first"))
-    return joined.withColumn("_reason", F.when(later, "exact_duplicate").otherwise(F.col("r.reason"))).select("r.source_file", "r.source_row", F.col("_reason").alias("reason"), *(f"r.{c}" for c in FIELDS if c not in ("timestamp", "verified_purchase")), "r.timestamp_ms", "r.verified_purchase", "r.raw")
+    names = ["source_file", "source_row", "reason", *(c for c in FIELDS if c not in ("timestamp", "verified_purchase")), "timestamp_ms", "verified_purchase", "raw"]
+    judged = joined.withColumn("_reason", F.when(later, "exact_duplicate").otherwise(F.col("r.reason"))).select(*(F.col("_reason").alias("reason") if c == "reason" else F.col(f"r.{c}") for c in names))
+    return judged.unionByName(parsed.filter("fingerprint is null").select(*names))
 
 
 def rejected_lines(feed: DataFrame) -> DataFrame:
@@ -227,22 +271,31 @@ def rejected_lines(feed: DataFrame) -> DataFrame:
     return classify_feed(feed).filter("reason is not null").select("source_file", "source_row", "reason").distinct()
 
 
-def accepted_reviews(feed: DataFrame, source: str = "mk") -> DataFrame:
-    """The lines that load, as canonical reviews; a blank text becomes null with text_missing."""
+def accepted_reviews(feed: DataFrame, source: str = "mk", hashes: DataFrame | None = None, unit: str = "ms") -> DataFrame:
+    """The lines that load, as canonical reviews; a blank text becomes null with text_missing.
+
+    hashes: (source_file, source_file_hash), one row a file; without them the hash of the file's name stands in. Ids are
+    derived from source, file hash and row. unit: "ms" or "s", the resolution in which times are kept.
+    """
     ok = classify_feed(feed).filter("reason is null")
+    if hashes is None:
+        ok = ok.withColumn("source_file_hash", F.sha2("source_file", 256))
+    else:
+        ok = ok.join(F.broadcast(hashes.select("source_file", "source_file_hash")), "source_file", "left")
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    rid = F.concat(F.lit(f"{source}:"), F.substring(F.sha2(F.concat_ws("|", "source_file", F.col("source_row").cast("string")), 256), 1, 16))
+    rid = F.concat(F.lit(f"{source}:"), F.substring(F.sha2(F.concat_ws("|", F.lit(source), "source_file_hash", F.col("source_row").cast("string")), 256), 1, 16))
     return ok.select(
         rid.alias("review_id"),
         F.concat(F.lit(f"{source}:"), "user_id").alias("reviewer_id"),
         F.concat(F.lit(f"{source}:"), "parent_asin").alias("target_id"),
         F.when(F.col("asin").isNotNull(), F.concat(F.lit(f"{source}:"), "asin")).alias("variant_id"),
-        F.timestamp_millis("timestamp_ms").alias("timestamp"),
+        (F.timestamp_millis("timestamp_ms") if unit == "ms" else F.timestamp_seconds(F.floor(F.col("timestamp_ms") / 1000))).alias("timestamp"),
         "title",
         F.when(~blank, F.col("text")).alias("text"),
         "rating",
         F.col("source_file").alias("source"),
         "source_row",
+        "source_file_hash",
         "verified_purchase",
         blank.alias("text_missing"),
     )

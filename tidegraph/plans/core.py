@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators import asof, eager, evaluation, fusion, graph, history, ingest, rings, rolling
-from tidegraph.sources.tables import event_reviews, order_reviews, scored_events, table
+from tidegraph.sources.tables import event_reviews, micros, order_reviews, scored_events, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,6 +88,15 @@ def p3_target_roles(spark: SparkSession, d: str) -> DataFrame:
     return eager.eager_join_aggregate(table(spark, d, "reviews"), table(spark, d, "splits"), "review_id", "node_key", ["target_id"], ["role"], "rating")
 
 
+@query(
+    """SELECT x.source, cast(sum(k.n) AS BIGINT) AS n_rows, cast(sum(CASE WHEN x.rating IS NOT NULL THEN k.n ELSE 0 END) AS BIGINT) AS n_measured, round(sum(x.rating * k.n) / sum(CASE WHEN x.rating IS NOT NULL THEN k.n END), 6) AS mean_rating
+    FROM reviews x JOIN (SELECT reviewer_id, count(*) AS n FROM reviews WHERE reviewer_id IS NOT NULL GROUP BY 1) k USING (reviewer_id) WHERE x.source IS NOT NULL GROUP BY 1"""
+)
+def p3_hot_join(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of reviews of one reviewer, counted and averaged by source: a join whose key is hot on both sides."""
+    return eager.target_pairs(table(spark, d, "reviews"), "reviewer_id", "source", "rating")
+
+
 _ROLLING = """r AS (SELECT review_id, reviewer_id, cast(timestamp AT TIME ZONE 'UTC' AS date) AS day, max(rating) AS rating FROM reviews WHERE reviewer_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1, 2, 3),
     f AS (SELECT reviewer_id, min(day) AS a FROM r GROUP BY 1),
     g AS (SELECT reviewer_id, cast(unnest(generate_series(a, DATE '2024-12-31', INTERVAL 1 DAY)) AS date) AS day FROM f),
@@ -126,44 +135,77 @@ _OR = "orr AS (SELECT o_orderkey AS review_id, o_custkey AS reviewer_id, p AS ta
 _SC = f"{_EV}, sc AS (SELECT review_id, reviewer_id, target_id, us, (cast(floor(value * 100) AS BIGINT) % 1000 + 1000) % 1000 / 1000.0 AS score, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN NULL ELSE 0 END AS label FROM ev)"
 _MEMBERS = "mem AS (SELECT concat('c', target_id % 10) AS campaign_id, review_id FROM sc WHERE label = 1 AND score >= 0.5)"
 _D = 86_400_000_000
+_BOUNDS = "n AS (SELECT count(*) AS n FROM ev), k_ AS (SELECT review_id, us, row_number() OVER (ORDER BY us, review_id) AS rn, cast(floor(n * 0.6::DOUBLE) AS BIGINT) AS a, cast(floor(n * 0.15::DOUBLE) AS BIGINT) AS b, cast(floor(n * 0.1::DOUBLE) AS BIGINT) AS c FROM ev, n), sp AS (SELECT review_id, us, CASE WHEN rn <= a THEN 'train' WHEN rn <= a + b THEN 'validation' WHEN rn <= a + b + c THEN 'calibration' ELSE 'test' END AS role FROM k_)"
 
 
-def _win(name: str, key: str, days: int | None) -> str:
-    return f"{name} AS (PARTITION BY {key} ORDER BY us RANGE BETWEEN {'UNBOUNDED' if days is None else days * _D} PRECEDING AND 1 PRECEDING)"
+def _past(view: str, key: str) -> str:
+    return f"SELECT b.review_id AS id, b.us AS t, a.*, row_number() OVER (PARTITION BY b.review_id ORDER BY a.us DESC, a.review_id DESC) AS rn FROM x b JOIN {view} a ON a.{key} = b.{key} AND a.us < b.us"
 
 
-_HIST = f"""SELECT review_id, count(*) OVER u1 AS rev_count_1d, count(*) OVER u7 AS rev_count_7d, count(*) OVER u30 AS rev_count_30d,
-    count(DISTINCT target_id) OVER ua AS prior_unique_targets, count(*) OVER t30 AS target_volume_prior, count(DISTINCT reviewer_id) OVER ta AS target_reviewer_volume_prior,
-    round((us - max(us) OVER t30) / 1e6, 3) AS time_since_target_prev_s, round((us - max(us) OVER ua) / 1e6, 3) AS time_since_prev_s, round(rating - avg(rating) OVER ua, 6) AS rating_minus_reviewer_prior_mean,
-    CASE WHEN count(*) OVER ua > 0 THEN least(count(*) OVER ua, 512) END AS reviewer_prior_rating_count, round(avg(rating) OVER ta, 6) AS target_prior_mean_rating, count(*) OVER t1 AS target_burst_24h,
-    CASE WHEN count(gap_s) OVER ua >= 2 THEN round(avg(gap_s) OVER ua, 3) END AS interarrival_mean_s, CASE WHEN count(gap_s) OVER ua >= 2 THEN round(stddev_pop(gap_s) OVER ua, 2) END AS interarrival_std_s
-    FROM (SELECT *, CASE WHEN lag(us) OVER o >= us - {30 * _D} THEN (us - lag(us) OVER o) / 1e6 END AS gap_s FROM x WINDOW o AS (PARTITION BY reviewer_id ORDER BY us, review_id))
-    WINDOW {_win('u1', 'reviewer_id', 1)}, {_win('u7', 'reviewer_id', 7)}, {_win('u30', 'reviewer_id', 30)}, {_win('ua', 'reviewer_id', None)}, {_win('t1', 'target_id', 1)}, {_win('t30', 'target_id', 30)}, {_win('ta', 'target_id', None)}"""
+#: Every pair of an event and an earlier one of its key, ranked from the latest; aggregates over the ranks up to 512.
+_HIST = f"""g AS (SELECT *, CASE WHEN lag(us) OVER o >= us - {30 * _D} THEN (us - lag(us) OVER o) / 1e6 END AS gap_s FROM x WINDOW o AS (PARTITION BY reviewer_id ORDER BY us, review_id)),
+    u AS (SELECT id, count_if(us >= t - {_D}) AS c1, count_if(us >= t - {7 * _D}) AS c7, count_if(us >= t - {30 * _D}) AS c30, count(DISTINCT target_id) FILTER (rn <= 512) AS d, avg(rating) FILTER (rn <= 512) AS m, least(count(*), 512) AS n, max(us) AS last FROM ({_past('x', 'reviewer_id')}) GROUP BY 1),
+    v AS (SELECT id, count_if(us >= t - {_D}) AS c1, count_if(us >= t - {30 * _D}) AS c30, count(DISTINCT reviewer_id) FILTER (rn <= 512) AS d, avg(rating) FILTER (rn <= 512) AS m, max(us) FILTER (us >= t - {30 * _D}) AS last FROM ({_past('x', 'target_id')}) GROUP BY 1),
+    k AS (SELECT id, count(*) AS n, avg(gap_s) FILTER (rn <= 512) AS m, stddev_pop(gap_s) FILTER (rn <= 512) AS s, max(gap_s) FILTER (rn = 1) AS last FROM ({_past('(SELECT * FROM g WHERE gap_s IS NOT NULL)', 'reviewer_id')}) GROUP BY 1),
+    h AS (SELECT x.review_id, cast(coalesce(u.c1, 0) AS BIGINT) AS rev_count_1d, cast(coalesce(u.c7, 0) AS BIGINT) AS rev_count_7d, cast(coalesce(u.c30, 0) AS BIGINT) AS rev_count_30d, k.last AS last_gap_s,
+      CASE WHEN k.n >= 2 THEN k.s END AS interarrival_std_s, CASE WHEN k.n >= 2 THEN k.m END AS interarrival_mean_s, coalesce(u.d, 0) AS prior_unique_targets, cast(coalesce(u.c30, 0) AS BIGINT) AS prior_reviews_31d,
+      cast(coalesce(v.c30, 0) AS BIGINT) AS target_volume_prior, coalesce(v.d, 0) AS target_reviewer_volume_prior, (x.us - v.last) / 1e6 AS time_since_target_prev_s, x.rating - u.m AS rating_minus_reviewer_prior_mean,
+      u.n AS reviewer_prior_rating_count, v.m AS target_prior_mean_rating, cast(coalesce(v.c1, 0) AS BIGINT) AS target_burst_24h, cast(coalesce(u.c1, 0) AS BIGINT) AS reviewer_burst_24h, (x.us - u.last) / 1e6 AS time_since_prev_s
+      FROM x LEFT JOIN u ON u.id = x.review_id LEFT JOIN v ON v.id = x.review_id LEFT JOIN k ON k.id = x.review_id)"""
+_DIGITS = {"last_gap_s": 3, "time_since_target_prev_s": 3, "time_since_prev_s": 3, "rating_minus_reviewer_prior_mean": 6, "target_prior_mean_rating": 6, "interarrival_std_s": 2}
+_WHOLE = "review_id rev_count_1d rev_count_7d rev_count_30d prior_unique_targets prior_reviews_31d target_volume_prior target_reviewer_volume_prior reviewer_prior_rating_count target_burst_24h reviewer_burst_24h".split()
+_HIST_OUT = f"SELECT {', '.join(_WHOLE)}, {', '.join(f'round({c}, {n}) AS {c}' for c, n in _DIGITS.items())}, floor(interarrival_mean_s * 1000 + 1e-4) / 1000 AS interarrival_mean_s FROM h"
+_RV = "rv AS (SELECT review_id, reviewer_id, target_id, epoch_us(timestamp) AS us, max(rating) AS rating FROM reviews WHERE reviewer_id IS NOT NULL AND target_id IS NOT NULL AND timestamp IS NOT NULL AND review_id IS NOT NULL GROUP BY 1, 2, 3, 4)"
 
 
 def _rounded_history(reviews: DataFrame) -> DataFrame:
-    h = history.history(reviews)
-    keep = "review_id rev_count_1d rev_count_7d rev_count_30d prior_unique_targets target_volume_prior target_reviewer_volume_prior reviewer_prior_rating_count target_burst_24h".split()
-    digits = {"time_since_target_prev_s": 3, "time_since_prev_s": 3, "rating_minus_reviewer_prior_mean": 6, "target_prior_mean_rating": 6, "interarrival_mean_s": 3, "interarrival_std_s": 2}
-    return h.select(*keep, *(F.round(c, n).alias(c) for c, n in digits.items()))
+    # means lie on halves of the last digit too often to round them alike in two engines
+    mean = F.floor(F.col("interarrival_mean_s") * 1000 + 1e-4) / 1000
+    return history.history(reviews).select(*_WHOLE, *(F.round(c, n).alias(c) for c, n in _DIGITS.items()), mean.alias("interarrival_mean_s"))
+
+
+def log_reviews(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews as a log: one row for each review with author, target and time."""
+    r = table(spark, d, "reviews").select("review_id", "reviewer_id", "target_id", micros("timestamp").alias("us"), "rating").filter("review_id is not null and reviewer_id is not null and target_id is not null and us is not null")
+    return r.groupBy("review_id", "reviewer_id", "target_id", "us").agg(F.max("rating").alias("rating"))
 
 
-@query(f"WITH {_EV}, x AS (SELECT * FROM ev) {_HIST}")
+@query(f"WITH {_EV}, x AS (SELECT * FROM ev), {_HIST} {_HIST_OUT}")
 def hist_features(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_history(event_reviews(spark, d))
 
 
-@query(f"WITH {_OR}, x AS (SELECT * FROM orr) {_HIST}")
+@query(f"WITH {_OR}, x AS (SELECT * FROM orr), {_HIST} {_HIST_OUT}")
 def hist_features_ties(spark: SparkSession, d: str) -> DataFrame:
     return _rounded_history(order_reviews(spark, d))
 
 
-@query()
-def hist_scaled(spark: SparkSession, d: str) -> DataFrame:
+@query(f"WITH {_RV}, x AS (SELECT * FROM rv), {_HIST} {_HIST_OUT}")
+def hist_features_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded_history(log_reviews(spark, d))
+
+
+_NAMES = history.COUNTS + history.SECONDS + history.SIGNED
+_SCALED = ", ".join(f"round(CASE WHEN c_{n} < 2 THEN coalesce(z.{n}, 0) ELSE coalesce((z.{n} - m_{n}) / greatest(CASE WHEN w_{n} > 0 THEN w_{n} / 1.349 ELSE s_{n} END, 1e-6), 0) END, 5) AS {n}" for n in _NAMES)
+
+
+def _scaled_sql(columns: str) -> str:
+    logged = ", ".join(f"ln(1 + greatest(cast({n} AS DOUBLE), 0)) AS {n}" if n not in history.SIGNED else n for n in _NAMES)
+    stats = ", ".join(f"quantile_cont({n}, 0.5) AS m_{n}, quantile_cont({n}, 0.75) - quantile_cont({n}, 0.25) AS w_{n}, stddev_pop({n}) AS s_{n}, count({n}) AS c_{n}" for n in _NAMES)
+    return f"WITH {_EV}, x AS (SELECT * FROM ev), {_HIST}, {_BOUNDS}, z AS (SELECT review_id, {logged} FROM h), q AS (SELECT {stats} FROM z JOIN sp USING (review_id) WHERE role = 'train') SELECT z.review_id, {columns} FROM z, q"
+
+
+def _scaled(spark: SparkSession, d: str) -> DataFrame:
     r = event_reviews(spark, d)
     return history.scale(history.history(r), evaluation.chronological_split(r).filter("role = 'train'"))
 
 
+@query(_scaled_sql(_SCALED))
+def hist_scaled(spark: SparkSession, d: str) -> DataFrame:
+    s = _scaled(spark, d)
+    return s.select("review_id", *(F.round(n, 5).alias(n) for n in _NAMES))
+
+
 def _edges_sql(view: str, key: str, days: int, most: int, relation: str) -> str:
     return f"""SELECT src, dst, relation, available_at FROM (SELECT a.review_id AS src, b.review_id AS dst, '{relation}' AS relation, a.us // 1000000 AS available_at,
     row_number() OVER (PARTITION BY b.review_id ORDER BY a.us // 1000000 DESC, a.review_id DESC) AS rn FROM {view} a JOIN {view} b ON a.{key} = b.{key} AND a.us // 1000000 < b.us // 1000000 AND a.us // 1000000 >= b.us // 1000000 - {days * 86400}) WHERE rn <= {most}"""
@@ -180,7 +222,7 @@ def edges_same_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_OR}, s AS (SELECT review_id, reviewer_id, target_id % 50 AS target_id, us // 1000000 AS sec FROM orr),
+    f"""WITH {_RV}, s AS (SELECT review_id, reviewer_id, target_id, us // 1000000 AS sec FROM rv),
     t AS (SELECT b.review_id AS dst, b.reviewer_id, b.sec AS t, a.target_id, max(a.sec) AS l FROM s a JOIN s b ON a.reviewer_id = b.reviewer_id AND a.sec < b.sec GROUP BY 1, 2, 3, 4),
     m AS (SELECT * FROM t WHERE l >= t - 2592000),
     o AS (SELECT m.dst, m.t, m.target_id, a.reviewer_id AS other, max(a.sec) AS l FROM m JOIN s a ON a.target_id = m.target_id AND a.sec < m.t AND a.reviewer_id <> m.reviewer_id GROUP BY 1, 2, 3, 4),
@@ -189,7 +231,7 @@ def edges_same_target(spark: SparkSession, d: str) -> DataFrame:
     SELECT arg_max(s.review_id, struct_pack(a := s.sec, b := s.review_id)) AS src, r.dst, 'co_target' AS relation, max(s.sec) AS available_at FROM r JOIN s ON s.reviewer_id = r.other AND s.sec < r.t WHERE rn <= 10 GROUP BY r.dst, r.other"""
 )
 def edges_co_target(spark: SparkSession, d: str) -> DataFrame:
-    return graph.co_target_edges(order_reviews(spark, d).withColumn("target_id", F.col("target_id") % 50))
+    return graph.co_target_edges(log_reviews(spark, d))
 
 
 @query("SELECT relation, count(*) AS n_edges, count(DISTINCT dst) AS n_dst, min(available_at) AS first_at, max(available_at) AS last_at FROM edges GROUP BY 1")
@@ -216,7 +258,11 @@ def two_hop_field(spark: SparkSession, d: str) -> DataFrame:
     return graph.upstream(table(spark, d, "edges"), table(spark, d, "splits").filter("role = 'test'").select(F.col("node_key").alias("review_id")))
 
 
-@query()
+@query(
+    f"""WITH {_EV}, e AS ({_edges_sql('ev', 'target_id', 7, 20, 'same_target')}), p AS (SELECT relation, src, dst, row_number() OVER (PARTITION BY relation, dst ORDER BY src) - 1 AS pos, count(*) OVER (PARTITION BY relation, dst) AS deg FROM (SELECT DISTINCT relation, src, dst FROM e)),
+    w AS (SELECT DISTINCT relation, dst, cast(concat('0x', substr(md5(concat_ws('|', '42', relation, cast(dst AS VARCHAR), cast(i AS VARCHAR))), 1, 8)) AS BIGINT) % deg AS pos FROM (SELECT DISTINCT relation, dst, deg FROM p WHERE deg > 10), range(1, 11) r(i))
+    SELECT relation, src, dst FROM p WHERE deg <= 10 UNION ALL SELECT relation, src, dst FROM p JOIN w USING (relation, dst, pos) WHERE deg > 10"""
+)
 def sampled_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return graph.sample_neighbours(graph.same_target_edges(event_reviews(spark, d)))
 
@@ -229,14 +275,8 @@ def edges_semantic(spark: SparkSession, d: str) -> DataFrame:
     return graph.semantic_edges(table(spark, d, "embeddings"), "vec_id", "label", "vec_id", "embedding", 0.2, 5)
 
 
-@query("WITH p AS (SELECT DISTINCT reviewer_id, target_id FROM reviews WHERE reviewer_id IS NOT NULL AND rating = 1) SELECT x.reviewer_id AS a, y.reviewer_id AS b, count(*) AS shared, 2 * count(*) - 1 AS weight FROM p x JOIN p y ON x.target_id = y.target_id AND x.reviewer_id < y.reviewer_id GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("WITH p AS (SELECT DISTINCT reviewer_id, target_id FROM reviews WHERE reviewer_id IS NOT NULL AND target_id IS NOT NULL) SELECT x.reviewer_id AS a, y.reviewer_id AS b, count(*) AS shared, 2 * count(*) - 1 AS weight FROM p x JOIN p y ON x.target_id = y.target_id AND x.reviewer_id < y.reviewer_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def ring_projection(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shared_target_pairs(table(spark, d, "reviews").filter("reviewer_id is not null and rating = 1"))
-
-
-@query()
-def ring_projection_all(spark: SparkSession, d: str) -> DataFrame:
-    """ring_projection over all reviews; that one is filtered as its SQL is."""
     return graph.shared_target_pairs(table(spark, d, "reviews"))
 
 
@@ -250,7 +290,6 @@ def ring_synchrony(spark: SparkSession, d: str) -> DataFrame:
     return rings.synchrony(event_reviews(spark, d), "target_id")
 
 
-_BOUNDS = "n AS (SELECT count(*) AS n FROM ev), k AS (SELECT review_id, us, row_number() OVER (ORDER BY us, review_id) AS rn, n FROM ev, n), sp AS (SELECT review_id, us, CASE WHEN rn <= floor(n * 0.6 + 1e-9) THEN 'train' WHEN rn <= floor(n * 0.75 + 1e-9) THEN 'validation' WHEN rn <= floor(n * 0.85 + 1e-9) THEN 'calibration' ELSE 'test' END AS role FROM k)"
 
 
 @query(f"WITH {_EV}, {_BOUNDS} SELECT review_id, us, role FROM sp")
@@ -263,7 +302,7 @@ def split_cutoffs(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.split_cutoffs(evaluation.chronological_split(event_reviews(spark, d)))
 
 
-@query(f"WITH {_SC}, u AS (SELECT review_id, label, cast(concat('0x', substr(md5(concat_ws('|', '42', cast(label AS VARCHAR), cast(review_id AS VARCHAR))), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM sc) SELECT review_id, label, CASE WHEN label IS NULL THEN 'excluded' WHEN u < 0.6 THEN 'train' WHEN u < 0.75 THEN 'validation' WHEN u < 0.85 THEN 'calibration' ELSE 'test' END AS role FROM u")
+@query(f"WITH {_SC}, u AS (SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('|', '42', cast(label AS VARCHAR), cast(review_id AS VARCHAR))), review_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM sc) SELECT review_id, label, CASE WHEN label IS NULL THEN 'excluded' WHEN rn <= floor(n * 0.6::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.6::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validation' WHEN rn <= floor(n * 0.6::DOUBLE) + floor(n * 0.15::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'calibration' ELSE 'test' END AS role FROM u")
 def split_stratified(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.stratified_split(scored_events(spark, d), "review_id", "label")
 
@@ -288,7 +327,8 @@ def pr_curve(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {_CURVE} SELECT cast(max(al) AS BIGINT) AS n, cast(max(pos) AS BIGINT) AS n_positive, round(sum(p * tp / m) / max(pos), 6) AS average_precision,
     round(sum((n - p) * (tp - p) + (n - p) * p / 2) / (max(pos) * (max(al) - max(pos))), 6) AS roc_auc, round(sum(p * (1 - score) ^ 2 + (n - p) * score ^ 2) / max(al), 6) AS brier,
-    round(max(CASE WHEN score >= 0.5 THEN m END) * 0 + 2 * max(CASE WHEN score >= 0.5 THEN tp END) / (max(CASE WHEN score >= 0.5 THEN m END) + max(pos)), 6) AS f1_at_half, round(max(2 * tp / (m + pos)), 6) AS best_f1 FROM cu"""
+    round(max(CASE WHEN score >= 0.5 THEN m END) * 0 + 2 * max(CASE WHEN score >= 0.5 THEN tp END) / (max(CASE WHEN score >= 0.5 THEN m END) + max(pos)), 6) AS f1_at_half, round(max(2 * tp / (m + pos)), 6) AS best_f1,
+    arg_min(score, struct_pack(a := -round(2 * tp / (m + pos), 12), b := score)) AS best_threshold, round(max(pos) / max(al), 6) AS prevalence FROM cu"""
 )
 def metric_ranking(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.ranking_summary(scored_events(spark, d))
