@@ -77,30 +77,44 @@ class Items:
             self.tables.append((h[order], p[order]))
         self.short = [k for k in range(len(items)) if 0 < len(items[k][1]) < SPAN]
 
-    def matches(self, doc: np.ndarray, per: int) -> dict[int, tuple[int, int, int]]:
-        """item -> (longest equal run, longest tolerant overlap, its equal words)."""
-        diagonals: set[tuple[int, int]] = set()
+    def matches(self, doc: np.ndarray, per: int, least: int) -> list[tuple[int, int, int, int]]:
+        """(item, longest equal run, longest tolerant overlap, its equal words) of the items with an overlap of at least `least` words, or whole."""
+        found = []
         for mask, (h, p) in zip(MASKS, self.tables):
             d = _spaced(doc, mask)
             if not len(d) or not len(h):
                 continue
-            lo, hi = np.searchsorted(h, d, "left"), np.searchsorted(h, d, "right")
-            for i in np.flatnonzero(hi > lo).tolist():
-                for pos in p[lo[i] : hi[i]].tolist():
-                    k = int(np.searchsorted(self.start, pos, "right")) - 1
-                    diagonals.add((k, i - (pos - int(self.start[k]))))
+            at = np.searchsorted(h, d)
+            hit = np.flatnonzero(h[np.minimum(at, len(h) - 1)] == d)
+            if not len(hit):
+                continue
+            n = np.searchsorted(h, d[hit], "right") - at[hit]
+            pos = p[np.repeat(at[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            k = np.searchsorted(self.start, pos, "right") - 1
+            found.append((k << 40) + np.repeat(hit, n) - (pos - self.start[k]) + (1 << 39))
         best: dict[int, tuple[int, int, int]] = {}
-        for k, shift in diagonals:
-            item = self.words[self.start[k] : self.start[k + 1]]
-            a, b = max(0, -shift), min(len(item), len(doc) - shift)
-            got = _overlap(item[a:b] == doc[a + shift : b + shift], per)
-            old = best.get(k, (0, 0, 0))
-            best[k] = (max(old[0], got[0]), *max(old[1:], got[1:]))
+        if found:
+            both = np.unique(np.concatenate(found))
+            ks, shifts = both >> 40, (both & ((1 << 40) - 1)) - (1 << 39)
+            # equal words on each diagonal, all diagonals in one array
+            a = np.maximum(0, -shifts)
+            size = np.minimum(self.start[ks + 1] - self.start[ks], len(doc) - shifts) - a
+            first = np.cumsum(size) - size
+            step = np.arange(size.sum()) - np.repeat(first, size)
+            same = self.words[np.repeat(self.start[ks] + a, size) + step] == doc[np.repeat(a + shifts, size) + step]
+            equal = np.add.reduceat(same, first) if len(same) else np.zeros(len(ks), np.int64)
+            # a tolerant overlap of so many words has at least this many equal ones
+            need = np.ceil(np.minimum(least, self.start[ks + 1] - self.start[ks]) * (1 - 1 / per) - 1e-9)
+            for i in np.flatnonzero(equal >= need).tolist():
+                k = int(ks[i])
+                got = _overlap(same[first[i] : first[i] + size[i]], per)
+                old = best.get(k, (0, 0, 0))
+                best[k] = (max(old[0], got[0]), *max(old[1:], got[1:]))
         for k in self.short:
             item = self.words[self.start[k] : self.start[k + 1]]
             if len(doc) >= len(item) and (np.lib.stride_tricks.sliding_window_view(doc, len(item)) == item).all(axis=1).any():
                 best[k] = (len(item),) * 3
-        return best
+        return [(k, *x) for k, x in best.items() if x[1] >= min(least, int(self.start[k + 1] - self.start[k]))]
 
 
 def _overlap(same: np.ndarray, per: int) -> tuple[int, int, int]:
@@ -122,7 +136,7 @@ def _overlap(same: np.ndarray, per: int) -> tuple[int, int, int]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", least: int = 13, per: int = 8, block_words: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, run, overlap, matched, n_words, leaked) of each document and item that share a hit.
+    """(doc_id, item_id, run, overlap, matched, n_words, leaked) of each document and item with a tolerant overlap of `least` words or of the whole item.
 
     run: longest run of equal words; overlap, matched: length and equal words of the longest tolerant stretch; n_words:
     of the item; leaked: run >= least, or the whole item if it is shorter.
@@ -140,7 +154,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
                 for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                     if not text:
                         continue
-                    for k, (longest, overlap, matched) in index.matches(np.array(hashes.of(normal_words(text)), np.uint32), per).items():
+                    for k, longest, overlap, matched in index.matches(np.array(hashes.of(normal_words(text)), np.uint32), per, least):
                         rows.append((doc, int(index.ids[k]), longest, overlap, matched, int(length[k]), longest >= min(least, int(length[k]))))
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["doc", "item", "run", "overlap", "matched", "n_words", "leaked"])

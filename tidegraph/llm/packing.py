@@ -3,9 +3,11 @@
 Items are the texts' token counts; a text longer than the largest length is cut into pieces of that length and a rest,
 and only then. Items are spread over groups by a hash of their id (the same at any cluster size) and each group is packed
 on its own, largest items first: an item goes into the open bin it fits best (least space left). If none has room, the bin
-to open is chosen by cost: each permitted length that holds the item is charged the space that the items still to come
-are not expected to fill, estimated from the sizes left. At last each bin is downsized to the smallest permitted
-length that holds its contents, so a bin that did not fill up costs no more than it must.
+to open is chosen by cost over all permitted lengths that hold the item, from the counts of the sizes still to come: a
+length that one of them fills to the last token (or that the item fills alone) costs nothing, and of these the shortest is
+taken, with that item placed at once; any other length is charged the space that what is to come can't be
+expected to fill, by token of its length. At last each bin is downsized to the smallest permitted length that holds its
+contents, so a bin that did not fill up costs no more than it must.
 
 Defined results: null, empty and blank-token texts come out with no tokens and no bin; equal sizes are ordered by id;
 repeated ids are packed once for each row; an empty table gives an empty result; extra columns are ignored.
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -64,36 +66,59 @@ def pack_group(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray,
     lengths = tuple(sorted(lengths))
     n = len(sizes)
     bins, place = np.empty(n, np.int64), np.empty(n, np.int64)
-    left: list[tuple[int, int]] = []  # (space left, bin) of open bins, sorted
+    open_: list[tuple[int, int]] = []  # (space left, bin) of open bins, sorted
     used: list[int] = []
     count: list[int] = []
     to_come = int(sizes.sum())
     small = int(sizes[-1]) if n else 0
+    # items of a size stand together; those still to come are the first left[size] of them
+    first: dict[int, int] = {}
+    left: dict[int, int] = {}
     for i, size in enumerate(sizes.tolist()):
+        first.setdefault(size, i)
+        left[size] = left.get(size, 0) + 1
+
+    def put(i: int, size: int, b: int) -> None:
+        bins[i], place[i] = b, count[b]
+        used[b] += size
+        count[b] += 1
+
+    for i, size in enumerate(sizes.tolist()):
+        if i - first[size] >= left[size]:
+            continue  # it has filled a bin before
         to_come -= size
-        at = bisect_left(left, (size, -1))
-        if at < len(left):
-            room, b = left.pop(at)
+        at = bisect_left(open_, (size, -1))
+        if at < len(open_):
+            room, b = open_.pop(at)
+            put(i, size, b)
         else:
             b = len(used)
             used.append(0)
             count.append(0)
-            room = _least_cost(size, lengths, to_come, small)
-        bins[i], place[i] = b, count[b]
-        used[b] += size
-        count[b] += 1
+            room, other = _least_cost(size, lengths, to_come, small, lambda g, size=size, i=i: g <= size and left.get(g, 0) - (i - first[size] + 1 if g == size else 0) > 0)
+            put(i, size, b)
+            if other:
+                left[other] -= 1
+                put(first[other] + left[other], other, b)
+                to_come -= other
+                room -= other
         if room > size and room - size >= small:
-            insort(left, (room - size, b))
+            insort(open_, (room - size, b))
     final = np.array([lengths[bisect_left(lengths, u)] for u in used], dtype=np.int64)
     return bins, final[bins] if n else final, place
 
 
-def _least_cost(size: int, lengths: tuple[int, ...], to_come: int, small: int) -> int:
-    """The length to open for an item: least expected loss by token of length; of equal ones the largest.
+def _least_cost(size: int, lengths: tuple[int, ...], to_come: int, small: int, there: Callable[[int], bool]) -> tuple[int, int]:
+    """The length to open for an item, and the size of an item that fills the rest of it exactly (0: none).
 
-    A gap that the smallest item can't enter is lost for certain; any other gap is lost as far as too few items remain.
+    Cost: expected loss by token of length. A length filled exactly costs nothing, the shortest such one is taken. A gap
+    that the smallest item can't enter is lost for certain; any other gap as far as too little is to come; of
+    equal costs the largest length is taken, whose gap can be filled in most ways.
     """
     best, cost = lengths[-1], float("inf")
+    for length in lengths:
+        if length >= size and (length == size or there(length - size)):
+            return length, length - size
     for length in reversed(lengths):
         if length < size:
             break
@@ -101,7 +126,7 @@ def _least_cost(size: int, lengths: tuple[int, ...], to_come: int, small: int) -
         lost = gap if gap < small else max(0, gap - to_come)
         if lost / length < cost:
             best, cost = length, lost / length
-    return best
+    return best, 0
 
 
 def pack(docs: DataFrame, id_col: str, text_col: str, ranks: str, lengths: tuple[int, ...] = (512, 1024, 2048, 4096), group_tokens: int = 20_000_000) -> DataFrame:

@@ -65,8 +65,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return abuse.score_documents(docs, abuse.fit(docs, table(spark, d, "doc_labels")), keep=("source",))
+    slots = abuse.slot_table(table(spark, d, "documents"), keep=("source",))
+    return abuse.score_documents(slots, abuse.fit(slots, table(spark, d, "doc_labels")), keep=("source",))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,11 +85,35 @@ _ALL = (p4_found, p4_counts, p5_found, p5_groups, p6_found, p6_groups, p8_packed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: The smallest reviewer that can be reached, over links from pairs and from each list's first member.
-SQL: dict[str, str] = {
-    "p6_found": """WITH RECURSIVE m AS (SELECT list_sort(list_distinct(list_filter(members, lambda x: x IS NOT NULL))) AS m FROM ring_candidates WHERE members IS NOT NULL),
+_GROUPS = """m AS (SELECT list_sort(list_distinct(list_filter(members, lambda x: x IS NOT NULL))) AS m FROM ring_candidates WHERE members IS NOT NULL),
     l AS (SELECT reviewer_a AS a, reviewer_b AS b FROM account_links WHERE shared_targets >= 2 AND reviewer_a <> reviewer_b
       UNION SELECT m[1], unnest(m[2:]) FROM m WHERE len(m) > 1),
     e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-    r(v, u) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u)
-    SELECT v AS reviewer_id, min(u) AS group_id FROM r GROUP BY 1""",
+    r(v, u) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
+    g AS (SELECT v AS reviewer_id, min(u) AS group_id FROM r GROUP BY 1)"""
+
+
+def _near(texts: str) -> str:
+    """Pairs (x, y) of texts (id, side, text) that are near-duplicates: word sets by class, rarest words first, the first
+    words of each up to the place at which the first shared one must stand, then the exact overlap."""
+    return f"""t AS (SELECT DISTINCT id, side, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS w FROM ({texts})),
+    k AS (SELECT w, min(id) AS c, len(w) AS n FROM t WHERE len(w) >= 12 GROUP BY 1), v AS (SELECT c, n, unnest(w) AS word FROM k), f AS (SELECT word, count(*) AS f FROM v GROUP BY 1),
+    p AS (SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY f, word) AS rn FROM v JOIN f USING (word)), q AS (SELECT c, n, word FROM p WHERE rn <= n - ceil(0.7 * n - 1e-9) + 1),
+    m AS (SELECT DISTINCT a.c AS a, b.c AS b FROM q a JOIN q b ON a.word = b.word AND a.c < b.c AND least(a.n, b.n) >= 0.7 * greatest(a.n, b.n) - 1e-9),
+    o AS (SELECT a, b, x.n + y.n AS n, len(list_intersect(x.w, y.w)) AS i FROM m JOIN k x ON x.c = a JOIN k y ON y.c = b),
+    z AS (SELECT a, b FROM o WHERE i >= 0.7 * (n - i) - 1e-9), every AS (SELECT a, b FROM z UNION ALL SELECT b, a FROM z UNION ALL SELECT c, c FROM k)
+    SELECT DISTINCT i.id AS x, j.id AS y, i.side AS sx, j.side AS sy FROM every JOIN k p ON p.c = a JOIN t i ON i.w = p.w JOIN k q ON q.c = b JOIN t j ON j.w = q.w WHERE i.id < j.id"""
+
+
+_SPLIT_TEXTS = "SELECT review_id AS id, side, text FROM reviews JOIN (SELECT node_key, bit_or(CASE WHEN role = 'train' THEN 1 ELSE 2 END) AS side FROM splits WHERE role IN ('train', 'validation', 'calibration', 'test') GROUP BY 1) ON node_key = review_id WHERE text IS NOT NULL"
+_P4 = f"WITH pr AS (WITH {_near(_SPLIT_TEXTS)}), f AS (SELECT DISTINCT x, y FROM pr WHERE (sx & 1 = 1 AND sy & 2 = 2) OR (sx & 2 = 2 AND sy & 1 = 1))"
+
+SQL: dict[str, str] = {
+    "p4_found": f"{_P4} SELECT x AS node_key_a, y AS node_key_b FROM f",
+    "p4_counts": f"""{_P4}, n AS (SELECT x AS id, x, y FROM f UNION ALL SELECT y, x, y FROM f), r AS (SELECT DISTINCT node_key AS id, role FROM splits WHERE role IN ('validation', 'calibration', 'test')), s AS (SELECT review_id AS id, min(source) AS source FROM reviews GROUP BY 1)
+    SELECT role, source, count(DISTINCT id) AS n_records, count(DISTINCT (x, y)) AS n_pairs FROM n JOIN r USING (id) LEFT JOIN s USING (id) GROUP BY 1, 2""",
+    "p5_found": f"WITH pr AS (WITH {_near('SELECT review_id AS id, 3 AS side, text FROM reviews WHERE text IS NOT NULL AND review_id IS NOT NULL')}) SELECT DISTINCT x AS review_id_a, y AS review_id_b FROM pr",
+    "p6_found": f"WITH RECURSIVE {_GROUPS} SELECT reviewer_id, group_id FROM g",
+    "p6_groups": f"""WITH RECURSIVE {_GROUPS}, c AS (SELECT DISTINCT candidate_id, unnest(members) AS reviewer_id FROM ring_candidates), k AS (SELECT group_id, count(DISTINCT candidate_id) AS n FROM c JOIN g USING (reviewer_id) GROUP BY 1)
+    SELECT g.group_id, count(*) AS n_reviewers, cast(coalesce(max(k.n), 0) AS BIGINT) AS components_merged FROM g LEFT JOIN k USING (group_id) GROUP BY 1""",
 }
