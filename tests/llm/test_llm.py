@@ -253,11 +253,13 @@ def test_tokens():
 
 
 def test_weak_passages_add_up():
-    m = abuse.Model(np.zeros((2, abuse.SLOTS)), 1.0, 0.05, 2.0)
-    passage, between = [3.5, 3.5], [-1.0] * 30
+    m = abuse.Model(np.zeros((2, abuse.SLOTS)), 1.0, 0.05, 10.0)
+    passage, between = [11.0, 11.0], [-1.0] * 30
     one = m.judge(np.array(between + passage + between * 7))
     many = m.judge(np.array((between + passage) * 7 + between))
     assert one[0] < m.limit <= many[0] and (one[3], many[3]) == (1, 7)
+    chance = m.judge(np.array((between + [3.0, 3.0]) * 7 + between))
+    assert chance[0] == m.evidence(6.0, 7 * 32 + 30) and chance[3] == 0
 
 
 def test_abuse_found_in_held_out_texts(spark):

@@ -5,9 +5,10 @@ Dirichlet prior in the proportions of the whole corpus. Labels name documents, n
 finding the best passage of each abusive document and counting only these passages as abusive. A document's passages
 are all its maximal scoring segments, found in one linear scan. The best segment of ordinary text grows like the
 logarithm of its length (an extreme-value law); its two parameters turn a segment's score into a normalised one, whose
-exponential is the number of such segments expected by chance. A document is judged by all of its passages: for the r
-best the law of the sum of their normalised scores gives a chance, and the least chance over all r, less for the choice,
-is the document's score (minus its decimal logarithm). One strong passage or several weaker ones are flagged alike.
+exponential is the number of such segments expected by chance. A document is judged by all of its significant passages
+(SIGNIFICANT): for the r best the law of the sum of their normalised scores gives a chance, and the least chance over all
+r, less for the choice, is the document's score (minus its decimal logarithm). Segments that are common by chance don't
+add up: in real text they come together more often than the law allows.
 
 The fit reads a bounded sample of labelled rows (max_labelled rows, max_tokens tokens); corpus counts and scores cover
 every document. Texts are read into tokens once; counts, fit and scores work on the written table of slots.
@@ -204,16 +205,16 @@ class Model:
         return max(0.0, self.normal(score, n) / math.log(10)) if score > 0 else 0.0
 
     def judge(self, s: np.ndarray) -> tuple[float, int, int, int]:
-        """Score of a document from all of its passages; the bounds of the best one; passages that are more than chance.
+        """Score of a document from all of its significant passages; the bounds of the best one; the number of such passages.
 
         The sum t of the r best normalised scores has by chance about exp(-t) * t^(r-1) / (r! (r-1)!) (law of the sum of
         extreme values); looking at r instead of r - 1 costs a factor of 2.
         """
         top, a, b = best_segment(s)
         best = self.evidence(top, len(s))
-        if not best:
-            return 0.0, a, b, 0
-        scores = sorted((x for *_, v in maximal_segments(s) if (x := self.normal(v, len(s))) > 0), reverse=True)
+        if best < SIGNIFICANT:
+            return best, a, b, 0
+        scores = sorted((x for *_, v in maximal_segments(s) if (x := self.normal(v, len(s))) >= SIGNIFICANT * math.log(10)), reverse=True)
         t = scores[0] if scores else 0.0
         for r, x in enumerate(scores[1:], 2):
             t += x
@@ -222,6 +223,8 @@ class Model:
         return best, a, b, len(scores)
 
 
+#: A passage is significant if chance gives less than one like it in so many documents (decimal logarithm).
+SIGNIFICANT = 8.0
 #: Subtracted from each token, so that ordinary text scores below 0 and a segment ends with the passage.
 DRIFT = 1.0
 #: Weight of the prior in tokens, and the bounds of one slot's log-odds.
