@@ -13,7 +13,8 @@ A term that more than `often` texts hold is posted together with a second one: t
 stands among the d + 2 first, so each such pair of terms is posted, and lists stay short however many texts there are.
 Pairs that meet get their exact dot product, which decides. Longer texts get more parts: a level serves texts of up to
 so many words, and a text is posted at each level that a partner of its may have (one or two). Counts of terms are kept in
-a fixed number of slots; what shares a slot only looks more frequent. Word hashes have 32 bits.
+a fixed number of slots. They only order terms and say which are posted with a second one, the same for all texts, so a
+wrong count costs time and never a pair. Word hashes have 32 bits.
 
 Defined results: null, empty and short texts, and records without a role in either side, are in no pair; repeated
 roles and deliveries count once; a record with roles on both sides stands on both; empty input gives an empty result.
@@ -56,8 +57,8 @@ class Parts:
         own, up = self.level(n), self.level(np.floor(n / self.threshold + 1e-9))
         start = np.cumsum(n) - n
         h = mix(words)
-        for level in np.unique(np.concatenate([own, up])).tolist() if n_rows else []:
-            rows = np.flatnonzero((own == level) | (up == level))
+        for level in range(int(own.min()), int(up.max()) + 1) if n_rows else ():
+            rows = np.flatnonzero((own <= level) & (level <= up))
             k, top = PARTS << level, self.first << level
             at = np.repeat(start[rows] - (np.cumsum(n[rows]) - n[rows]), n[rows]) + np.arange(n[rows].sum())
             place = np.repeat(np.arange(len(rows)) * k, n[rows]) + ((h[at] >> np.uint64(9)) % np.uint64(k)).astype(np.int64)
@@ -113,7 +114,8 @@ def _term_counts(sets: DataFrame, parts: Parts, often: int = 0, counts: np.ndarr
     got = sets.select("c", "side", "w").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS + 1, np.int64)
     out[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return out[:SLOTS], int(out[SLOTS])
+    # what terms share a slot by chance is taken off, so that rare terms stay rare however many texts there are
+    return np.maximum(out[:SLOTS] - int(np.median(out[:SLOTS])), 0), int(out[SLOTS])
 
 
 def _post(parts: Parts, ones: np.ndarray, twos: np.ndarray | None, often: int, block: int):

@@ -77,44 +77,71 @@ class Items:
             self.tables.append((h[order], p[order]))
         self.short = [k for k in range(len(items)) if 0 < len(items[k][1]) < SPAN]
 
-    def matches(self, doc: np.ndarray, per: int, least: int) -> list[tuple[int, int, int, int]]:
-        """(item, longest equal run, longest tolerant overlap, its equal words) of the items with an overlap of at least `least` words, or whole."""
+    def matches(self, docs: list[np.ndarray], per: int, least: int) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, longest equal run, longest tolerant overlap, its equal words) of the items with an overlap of at
+        least `least` words, or whole. All documents are hashed, looked up and compared along their hits' diagonals at once."""
+        lens = np.array([len(d) for d in docs], np.int64)
+        words, row = np.concatenate(docs) if docs else np.empty(0, np.uint32), np.repeat(np.arange(len(docs)), lens)
+        base, n_items = np.cumsum(lens) - lens, len(self.ids)
+        inside = np.flatnonzero(row[SPAN - 1 :] == row[: len(row) - SPAN + 1]) if len(row) >= SPAN else np.empty(0, np.int64)
         found = []
         for mask, (h, p) in zip(MASKS, self.tables):
-            d = _spaced(doc, mask)
-            if not len(d) or not len(h):
+            if not len(inside) or not len(h):
                 continue
+            d = _spaced(words, mask)[inside]
             at = np.searchsorted(h, d)
             hit = np.flatnonzero(h[np.minimum(at, len(h) - 1)] == d)
-            if not len(hit):
-                continue
             n = np.searchsorted(h, d[hit], "right") - at[hit]
             pos = p[np.repeat(at[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            k = np.searchsorted(self.start, pos, "right") - 1
-            found.append((k << 40) + np.repeat(hit, n) - (pos - self.start[k]) + (1 << 39))
-        best: dict[int, tuple[int, int, int]] = {}
-        if found:
-            both = np.unique(np.concatenate(found))
-            ks, shifts = both >> 40, (both & ((1 << 40) - 1)) - (1 << 39)
-            # equal words on each diagonal, all diagonals in one array
-            a = np.maximum(0, -shifts)
-            size = np.minimum(self.start[ks + 1] - self.start[ks], len(doc) - shifts) - a
-            first = np.cumsum(size) - size
-            step = np.arange(size.sum()) - np.repeat(first, size)
-            same = self.words[np.repeat(self.start[ks] + a, size) + step] == doc[np.repeat(a + shifts, size) + step]
-            equal = np.add.reduceat(same, first) if len(same) else np.zeros(len(ks), np.int64)
-            # a tolerant overlap of so many words has at least this many equal ones
-            need = np.ceil(np.minimum(least, self.start[ks + 1] - self.start[ks]) * (1 - 1 / per) - 1e-9)
-            for i in np.flatnonzero(equal >= need).tolist():
-                k = int(ks[i])
-                got = _overlap(same[first[i] : first[i] + size[i]], per)
-                old = best.get(k, (0, 0, 0))
-                best[k] = (max(old[0], got[0]), *max(old[1:], got[1:]))
+            k, where = np.searchsorted(self.start, pos, "right") - 1, np.repeat(inside[hit], n)
+            found.append(((row[where] * n_items + k) << 32) + (where - base[row[where]]) - (pos - self.start[k]) + (1 << 31))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        both = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        for part in range(0, len(both), 100_000):
+            self._diagonals(both[part : part + 100_000], words, base, lens, per, least, best)
         for k in self.short:
             item = self.words[self.start[k] : self.start[k + 1]]
-            if len(doc) >= len(item) and (np.lib.stride_tricks.sliding_window_view(doc, len(item)) == item).all(axis=1).any():
-                best[k] = (len(item),) * 3
-        return [(k, *x) for k, x in best.items() if x[1] >= min(least, int(self.start[k + 1] - self.start[k]))]
+            for i, doc in enumerate(docs):
+                if len(doc) >= len(item) and (np.lib.stride_tricks.sliding_window_view(doc, len(item)) == item).all(axis=1).any():
+                    best[i, k] = (len(item),) * 3
+        return [(i, k, *x) for (i, k), x in best.items() if x[1] >= min(least, int(self.start[k + 1] - self.start[k]))]
+
+    def _diagonals(self, both: np.ndarray, words: np.ndarray, base: np.ndarray, lens: np.ndarray, per: int, least: int, best: dict) -> None:
+        """Compare documents and items along diagonals, all in one array; only those that can hold a long enough overlap are looked into."""
+        docs, ks = (both >> 32) // len(self.ids), (both >> 32) % len(self.ids)
+        shifts = (both & ((1 << 32) - 1)) - (1 << 31)
+        n_words = self.start[ks + 1] - self.start[ks]
+        a = np.maximum(0, -shifts)
+        size = np.minimum(n_words, lens[docs] - shifts) - a
+        first = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(first, size)
+        same = self.words[np.repeat(self.start[ks] + a, size) + step] == words[np.repeat(base[docs] + a + shifts, size) + step]
+        sums = np.concatenate(([0], np.cumsum(same)))
+        # a tolerant overlap of so many words has at least this many equal ones, and a stretch of `least` words with this many
+        whole = np.minimum(least, n_words)
+        may = sums[first + size] - sums[first] >= np.ceil(whole * (1 - 1 / per) - 1e-9)
+        wide = np.flatnonzero(may & (size >= least) & (n_words >= least))
+        n = size[wide] - least + 1
+        at = np.repeat(first[wide], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if len(wide):
+            dense = np.maximum.reduceat(sums[at + least] - sums[at], np.cumsum(n) - n)
+            may[wide[dense < least - _misses(least, per)]] = False
+        for i in np.flatnonzero(may).tolist():
+            key = (int(docs[i]), int(ks[i]))
+            got = _overlap(same[first[i] : first[i] + size[i]], per)
+            old = best.get(key, (0, 0, 0))
+            best[key] = (max(old[0], got[0]), *max(old[1:], got[1:]))
+
+
+@lru_cache
+def _misses(least: int, per: int) -> int:
+    """Most different words that the best window of `least` words can have in a tolerant stretch of any length.
+
+    A stretch of m words has at most m / per different ones. Its first and last window share 2 * least - m words if it is
+    shorter than two windows; a longer one holds several windows side by side, the best of which has at most the mean.
+    """
+    short = [min(m // per, (m // per + 2 * least - m) // 2) for m in range(least, 2 * least)]
+    return max([*short, *(m // per // (m // least) for m in range(2 * least, 2 * least * per))])
 
 
 def _overlap(same: np.ndarray, per: int) -> tuple[int, int, int]:
@@ -150,12 +177,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
             index, hashes = held.value, Hashes()
             length = np.diff(index.start)
             for batch in batches:
-                rows = []
-                for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    if not text:
-                        continue
-                    for k, longest, overlap, matched in index.matches(np.array(hashes.of(normal_words(text)), np.uint32), per, least):
-                        rows.append((doc, int(index.ids[k]), longest, overlap, matched, int(length[k]), longest >= min(least, int(length[k]))))
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                words = [np.array(hashes.of(normal_words(t)) if t else [], np.uint32) for t in texts]
+                rows = [(ids[i], int(index.ids[k]), longest, overlap, matched, int(length[k]), longest >= min(least, int(length[k]))) for i, k, longest, overlap, matched in index.matches(words, per, least)]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)], names=["doc", "item", "run", "overlap", "matched", "n_words", "leaked"])
 

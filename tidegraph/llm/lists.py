@@ -6,8 +6,8 @@ and whether the term is an early one. Where texts meet at the first term that th
 have it among its late ones, but never both; where no term is marked late, all count as early. The parities of two
 texts differ in at most as many bits as the texts differ in words, so no similar pair is lost in a list.
 
-A list that may outgrow `BLOCK` postings is split before the shuffle: its postings fall into blocks by a hash of the
-class, and each pair of blocks is a list of its own, so no task holds more than two blocks of a key, however hot it is.
+A list that is expected to outgrow `BLOCK` postings is split before the shuffle: its postings fall into blocks by a hash of
+the class, and each pair of blocks is a list of its own, so a hot key is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def mark_late(bits: np.ndarray, late: np.ndarray) -> np.ndarray:
 
 
 def posted(k: np.ndarray, c: np.ndarray, bits: np.ndarray, more: np.ndarray, bound: np.ndarray, block: int = BLOCK) -> pa.RecordBatch:
-    """A batch of postings; bound: the most postings that the list of a key can have. Keys above the block are split."""
+    """A batch of postings; bound: the postings to expect in the list of a key, the same for all of them. Keys above the block are split."""
     g = -(-bound.astype(np.int64) // block)
     hot = np.flatnonzero(g > 1)
     k = k.astype(_u)

@@ -43,11 +43,9 @@ def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, skip: int,
             words, row = flat(batch.column(2))
             start = np.searchsorted(row, np.arange(len(c)))
             known, inv = np.unique(words, return_inverse=True)
-            weight, held = weights[known % DF_SLOTS], df[known % DF_SLOTS]
-            often = np.log(held + 1.0)
+            weight, often = weights[known % DF_SLOTS], np.log(df[known % DF_SLOTS] + 1.0)
             keys = np.empty((len(c), coordinates), np.uint64)
             common = np.zeros((len(c), coordinates))
-            bound = np.full((len(c), coordinates), n_texts)
             for j in range(coordinates):
                 key = np.full(len(c), j + 1, np.uint64)
                 for r in range(width):
@@ -58,12 +56,13 @@ def _sign(df: np.ndarray, n_texts: int, coordinates: int, width: int, skip: int,
                     least = order[np.minimum.reduceat(rank[inv], start)]
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + known[least].astype(np.uint64))
                     common[:, j] += often[least]
-                    bound[:, j] = np.minimum(bound[:, j], held[least])  # a list holds no more texts than its rarest word
                 keys[:, j] = key
             bits, more = pack(words, row, len(c), side)
             keep = np.argsort(common, axis=1, kind="stable")[:, : coordinates - skip]
             many = keep.shape[1]
-            yield posted(np.take_along_axis(keys, keep, axis=1).ravel(), np.repeat(c, many), np.repeat(bits, many), np.repeat(more, many), np.take_along_axis(bound, keep, axis=1).ravel(), block)
+            # texts expected in a list, were its words independent: lists that are longer all the same only take longer
+            expected = np.exp(np.take_along_axis(common, keep, axis=1) - (width - 1) * np.log(n_texts + 1.0))
+            yield posted(np.take_along_axis(keys, keep, axis=1).ravel(), np.repeat(c, many), np.repeat(bits, many), np.repeat(more, many), np.ceil(expected).astype(np.int64).ravel(), block)
 
     return run
 
