@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SF
-from tidegraph.plans import core
+from tidegraph.plans import core, pipeline  # noqa: F401 (pipeline registers its queries)
 
 
 def rows(t):

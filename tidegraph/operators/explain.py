@@ -111,7 +111,7 @@ def cited_events(rings: DataFrame, reviews: DataFrame, scored: DataFrame, most:
     from tidegraph.operators.records import last_of
 
     m = rings.select("ring_id", "targets", F.explode("members").alias("reviewer_id"))
-    x = reviews.join(m, "reviewer_id").filter(F.array_contains("targets", F.col("target_id"))).drop("targets")
+    x = reviews.join(m, "reviewer_id").filter(F.array_contains("targets", F.col("target_id"))).select("ring_id", "review_id", "reviewer_id", "target_id", "us")
     x = x.join(scored.select("review_id", "score").dropDuplicates(["review_id"]), "review_id", "left").withColumn("_s", F.coalesce("score", F.lit(-1.0)))
     return last_of(x, "ring_id", ["_s", "review_id"], most).select("ring_id", "review_id", "reviewer_id", "target_id", "us", "score")
 

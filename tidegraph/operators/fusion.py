@@ -28,8 +28,9 @@ def weighted_available(experts: list[str], weights: list[float]) -> Column:
 
 
 def logit(p: Column, eps: float = 1e-6) -> Column:
+    """Log-odds of a probability kept eps away from 0 and 1; null stays null."""
     q = F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))
-    return F.log(q / (1 - q))
+    return F.when(p.isNotNull(), F.log(q / (1 - q)))
 
 
 def sigmoid(z: Column) -> Column:
