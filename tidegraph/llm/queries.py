@@ -108,11 +108,14 @@ def _near(texts: str) -> str:
 _SPLIT_TEXTS = "SELECT review_id AS id, side, text FROM reviews JOIN (SELECT node_key, bit_or(CASE WHEN role = 'train' THEN 1 ELSE 2 END) AS side FROM splits WHERE role IN ('train', 'validation', 'calibration', 'test') GROUP BY 1) ON node_key = review_id WHERE text IS NOT NULL"
 _P4 = f"WITH pr AS (WITH {_near(_SPLIT_TEXTS)}), f AS (SELECT DISTINCT x, y FROM pr WHERE (sx & 1 = 1 AND sy & 2 = 2) OR (sx & 2 = 2 AND sy & 1 = 1))"
 
+#: SQL that takes minutes on larger tables; only tests run it.
+SLOW_SQL: dict[str, str] = {
+    "p5_found": f"WITH pr AS (WITH {_near('SELECT review_id AS id, 3 AS side, text FROM reviews WHERE text IS NOT NULL AND review_id IS NOT NULL')}) SELECT DISTINCT x AS review_id_a, y AS review_id_b FROM pr",
+}
 SQL: dict[str, str] = {
     "p4_found": f"{_P4} SELECT x AS node_key_a, y AS node_key_b FROM f",
     "p4_counts": f"""{_P4}, n AS (SELECT x AS id, x, y FROM f UNION ALL SELECT y, x, y FROM f), r AS (SELECT DISTINCT node_key AS id, role FROM splits WHERE role IN ('validation', 'calibration', 'test')), s AS (SELECT review_id AS id, min(source) AS source FROM reviews GROUP BY 1)
     SELECT role, source, count(DISTINCT id) AS n_records, count(DISTINCT (x, y)) AS n_pairs FROM n JOIN r USING (id) LEFT JOIN s USING (id) GROUP BY 1, 2""",
-    "p5_found": f"WITH pr AS (WITH {_near('SELECT review_id AS id, 3 AS side, text FROM reviews WHERE text IS NOT NULL AND review_id IS NOT NULL')}) SELECT DISTINCT x AS review_id_a, y AS review_id_b FROM pr",
     "p6_found": f"WITH RECURSIVE {_GROUPS} SELECT reviewer_id, group_id FROM g",
     "p6_groups": f"""WITH RECURSIVE {_GROUPS}, c AS (SELECT DISTINCT candidate_id, unnest(members) AS reviewer_id FROM ring_candidates), k AS (SELECT group_id, count(DISTINCT candidate_id) AS n FROM c JOIN g USING (reviewer_id) GROUP BY 1)
     SELECT g.group_id, count(*) AS n_reviewers, cast(coalesce(max(k.n), 0) AS BIGINT) AS components_merged FROM g LEFT JOIN k USING (group_id) GROUP BY 1""",
