@@ -207,7 +207,7 @@ def test_planted_ring_is_found_and_explained(spark):
     cited = explain.cited_events(found, df, df.filter("review_id <> 'a00'"))
     card = explain.evidence_cards(found, cited).first()
     assert card.n_members == 3 and len(card.cited) == 6 and card.missing_context == ["some_scores"] and card.first_day == "1970-01-01"
-    assert explain.evidence_cards(found, cited.filter("false")).first().missing_context == ["no_events", "no_times"]
+    assert explain.evidence_cards(found, cited.filter("false")).first().missing_context == ["no_events", "no_scores", "no_times"]
     rows = df.join(found.select("component", F.explode("members").alias("reviewer_id")), "reviewer_id")
     edges = graph.causal_graph(df)
     got = explain.explain_ring(found, rows, edges, df)
