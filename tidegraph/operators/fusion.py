@@ -92,7 +92,7 @@ def tfidf(docs: DataFrame, id_col: str, text_col: str, min_df: int = 2) -> DataF
     df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
     x = tf.join(df, "term").select("id", "term", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return x.select("id", "term", F.round(F.col("x") / norm, 6).alias("weight"))
+    return x.select("id", "term", (F.col("x") / norm).alias("weight"))
 
 
 def reduced(weights: DataFrame, most: int = 128, terms: int = 4096) -> DataFrame:

@@ -410,10 +410,10 @@ def calibrated_scores(spark: SparkSession, d: str) -> DataFrame:
     """WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL),
     t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])))) AS term FROM w), tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2), x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term))
-    SELECT id, term, round(round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6), 4) AS weight FROM x"""
+    SELECT id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM x"""
 )
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.tfidf(table(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 4))
+    return fusion.tfidf(table(spark, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 @query("SELECT sha256(coalesce(text, '')) AS fingerprint, count(DISTINCT review_id) AS n_reviews, count(*) AS n_rows FROM reviews GROUP BY 1")
