@@ -12,30 +12,40 @@ from __future__ import annotations
 from collections.abc import Iterator  # noqa: F401
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.operators.evaluation import best_matching, iou_pairs
+from tidegraph.operators.evaluation import best_pairs, iou_pairs
 from tidegraph.operators.graph import components
+from tidegraph.session import cut
 
 
 def match_sets(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """(p, t, iou, good): the one-to-one pairs of greatest total IoU of sets (p, member) and (t, member); good: IoU of at least `least`."""
-    iou = iou_pairs(predicted, truth)
+    """(p, t, iou, good): the one-to-one pairs of greatest total IoU of sets (p, member) and (t, member); good: IoU of at least `least`.
+
+    Of a component with k sets on its smaller side, each of these needs only its k best pairs: the others take up at most
+    k - 1 partners. The rest never reach the solver.
+    """
+    return _matched(cut(iou_pairs(predicted, truth), "iou"), least)
+
+
+def _matched(iou: DataFrame, least: float) -> DataFrame:
     ends = iou.select(F.concat(F.lit("p|"), F.col("p").cast("string")).alias("a"), F.concat(F.lit("t|"), F.col("t").cast("string")).alias("b"), "p", "t", "iou")
     of = components(ends.select("a", "b")).select(F.col("node").alias("a"), "component")
     kinds = dict(iou.dtypes)
+    met = ends.join(of, "a").select("component", "p", "t", "iou")
+    sides = met.groupBy("component").agg(F.count_distinct("p").alias("np"), F.count_distinct("t").alias("nt"))
+    met = met.join(sides, "component").withColumn("by_p", F.col("np") <= F.col("nt")).withColumn("by", F.when(F.col("by_p"), F.concat(F.lit("p|"), F.col("p").cast("string"))).otherwise(F.concat(F.lit("t|"), F.col("t").cast("string"))))
+    met = met.withColumn("rk", F.row_number().over(Window.partitionBy("component", "by").orderBy(F.desc("iou"), "p", "t"))).filter("rk <= least(np, nt)")
 
     def solve(t: pa.Table) -> pa.Table:
         ps, ts = (sorted(set(t.column(c).to_pylist())) for c in ("p", "t"))
-        weights = [[0.0] * len(ts) for _ in ps]
         row, col = {p: i for i, p in enumerate(ps)}, {x: j for j, x in enumerate(ts)}
-        for p, x, w in zip(*(t.column(c).to_pylist() for c in ("p", "t", "iou"))):
-            weights[row[p]][col[x]] = w
-        got = best_matching(weights)
-        return pa.table({"p": pa.array([ps[i] for i, _ in got], t.schema.field("p").type), "t": pa.array([ts[j] for _, j in got], t.schema.field("t").type), "iou": pa.array([weights[i][j] for i, j in got], pa.float64())})
+        weight = {(row[p], col[x]): w for p, x, w in zip(*(t.column(c).to_pylist() for c in ("p", "t", "iou")))}
+        got = best_pairs([(i, j, round(w * 1_000_000)) for (i, j), w in weight.items()])
+        return pa.table({"p": pa.array([ps[i] for i, _ in got], t.schema.field("p").type), "t": pa.array([ts[j] for _, j in got], t.schema.field("t").type), "iou": pa.array([weight[e] for e in got], pa.float64())})
 
-    met = ends.join(of, "a").select("component", "p", "t", "iou").groupBy("component").applyInArrow(solve, f"p {kinds['p']}, t {kinds['t']}, iou double")
+    met = met.select("component", "p", "t", "iou").groupBy("component").applyInArrow(solve, f"p {kinds['p']}, t {kinds['t']}, iou double")
     return met.withColumn("good", F.col("iou") >= least)
 
 

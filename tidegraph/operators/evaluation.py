@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,40 +133,49 @@ def iou_pairs(predicted: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def best_matching(weights: list[list[float]]) -> list[tuple[int, int]]:
-    """One-to-one (row, column) pairs of greatest total weight; pairs of weight 0 are left out.
+    """One-to-one (row, column) pairs of greatest total weight (weights to 12 decimals); pairs of weight 0 are left out."""
+    return best_pairs([(i, j, round(w * 1e12)) for i, r in enumerate(weights) for j, w in enumerate(r)])
+
+
+def best_pairs(edges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """One-to-one pairs of greatest total weight out of edges (i, j, whole weight); edges without a positive weight are left out.
 
-    Shortest augmenting paths with potentials over a square cost matrix; for up to some thousands of sets.
+    Shortest augmenting paths with potentials from the side with fewer ends, along edges alone; an end may stay free at
+    weight 0. Of equally good matchings the one with the smallest sum of i, then of j.
     """
-    import numpy as np
-
-    if not weights or not weights[0]:
-        return []
-    n = max(len(weights), len(weights[0]))
-    cost = [[-(weights[i][j] if i < len(weights) and j < len(weights[0]) else 0.0) for j in range(n)] for i in range(n)]
-    row_price, col_price, owner = [0.0] * n, [0.0] * n, [-1] * n
-    for start in range(n):
-        dist, via, done = [float("inf")] * n, [-1] * n, [False] * n
-        row, col, gone = start, -1, 0.0
+    edges = [e for e in edges if e[2] > 0]
+    swap = len({i for i, _, _ in edges}) > len({j for _, j, _ in edges})
+    base = sum(i + j for i, j in {(i, j) for i, j, _ in edges}) + 1  # above the sum of any matching
+    adj: dict[int, list[tuple[int, int]]] = {}
+    for i, j, w in edges:
+        adj.setdefault(j if swap else i, []).append((i if swap else j, (i - w * base) * base + j))
+    row_price, col_price, owner = dict.fromkeys(adj, 0), {}, {}
+    for start in sorted(adj):
+        dist, via, done, near = {}, {}, {}, []
+        row, col, gone = start, None, 0
         while True:
-            for j in range(n):
-                if not done[j] and (d := gone + cost[row][j] - row_price[row] - col_price[j]) < dist[j]:
+            for j, c in (*adj[row], (-1 - row, 0)):  # the last one leaves the row free
+                d = gone + c - row_price[row] - col_price.get(j, 0)
+                if j not in dist or d < dist[j]:
                     dist[j], via[j] = d, col
-            col = min((j for j in range(n) if not done[j]), key=dist.__getitem__)
-            gone = dist[col]
-            if owner[col] < 0:
+                    heapq.heappush(near, (d, j))
+            while True:
+                gone, col = heapq.heappop(near)
+                if gone == dist[col] and col not in done:
+                    break
+            if col not in owner:
                 break
-            done[col] = True
+            done[col] = None
             row = owner[col]
-        for j in range(n):
-            if done[j]:
-                row_price[owner[j]] += gone - dist[j]
-                col_price[j] -= gone - dist[j]
+        for j in done:
+            row_price[owner[j]] += gone - dist[j]
+            col_price[j] = col_price.get(j, 0) - gone + dist[j]
         row_price[start] += gone
-        while via[col] >= 0:
+        while via[col] is not None:
             owner[col] = owner[via[col]]
             col = via[col]
         owner[col] = start
-    return sorted((i, j) for j, i in enumerate(owner) if i < len(weights) and j < len(weights[0]) and weights[i][j] > 0)
+    return sorted((j, r) if swap else (r, j) for j, r in owner.items() if j >= 0)
 
 
 def replay_daily(scored: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
