@@ -7,6 +7,7 @@ sets and as often as they stand in mean scores.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,17 +105,56 @@ def seed_review(rows: DataFrame) -> DataFrame:
     return rows.groupBy("component").agg(F.min_by("review_id", F.struct(-F.coalesce("score", F.lit(0.0)), "review_id")).alias("review_id"))
 
 
-def overlap(rows: DataFrame) -> DataFrame:
-    """(component, raw_overlap): mean Jaccard of the target sets of all pairs of a component's reviewers; pairs without a shared target add 0."""
+def overlap(rows: DataFrame, joined: int = 1_000_000, block: int = 2048) -> DataFrame:
+    """(component, raw_overlap): mean Jaccard of the target sets of all pairs of a component's reviewers; pairs without a shared target add 0.
+
+    Reviewers with equal sets are compared once and counted by their number. Different sets meet on shared targets; where
+    that gives a component more than `joined` rows and a good part of its pairs share a target, blocks of sets are
+    multiplied as matrices instead.
+    """
     t = rows.select("component", "reviewer_id", "target_id").distinct()
-    n = t.groupBy("component", "reviewer_id").agg(F.count("*").alias("n"))
-    a = t.join(n, ["component", "reviewer_id"])
-    s = a.alias("a").join(a.alias("b"), (F.col("a.component") == F.col("b.component")) & (F.col("a.target_id") == F.col("b.target_id")) & (F.col("a.reviewer_id") < F.col("b.reviewer_id")))
-    s = s.groupBy(F.col("a.component").alias("component"), F.col("a.reviewer_id"), F.col("b.reviewer_id")).agg((F.count("*") / (F.max("a.n") + F.max("b.n") - F.count("*"))).alias("j")).groupBy("component").agg(F.sum("j").alias("s"))
-    size = n.groupBy("component").agg(F.count("*").alias("m")).filter("m > 1")
+    sets = t.groupBy("component", "reviewer_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("target_id")).alias("ts"))
+    equal = cut(sets.groupBy("component", "n", "ts").agg(F.count("*").alias("m"), F.count("reviewer_id").alias("k"), F.min("reviewer_id").alias("id")), "target-sets")
+    size = equal.groupBy("component").agg(F.sum("m").alias("m")).filter("m > 1")
+    x = equal.filter("component is not null and k > 0 and size(ts) > 0").select("component", "id", "n", "k", "ts")
+    same = x.select("component", (F.size("ts") / (2 * F.col("n") - F.size("ts")) * F.col("k") * (F.col("k") - 1) / 2).alias("j"))
+    often = x.select("component", F.explode("ts").alias("target_id")).groupBy("component", "target_id").agg(F.count("*").alias("f")).groupBy("component").agg(F.sum(F.col("f") * F.col("f")).alias("met"))
+    plan = x.groupBy("component").agg(F.count("*").alias("sets")).join(often, "component").select("component", ((F.col("met") > joined) & (F.col("sets") * F.col("sets") <= 64 * F.col("met"))).alias("dense"), F.ceil(F.col("sets") / block).cast("int").alias("g"))
+    x = x.join(plan, "component")
+    e = x.filter("not dense").select("component", "id", "n", "k", F.explode("ts").alias("target_id"))
+    s = e.alias("a").join(e.alias("b"), (F.col("a.component") == F.col("b.component")) & (F.col("a.target_id") == F.col("b.target_id")) & (F.col("a.id") < F.col("b.id")))
+    both = F.count("*")
+    s = s.groupBy(F.col("a.component").alias("component"), F.col("a.id"), F.col("b.id")).agg((both / (F.max("a.n") + F.max("b.n") - both) * F.max("a.k") * F.max("b.k")).alias("j")).select("component", "j")
+    d = x.filter("dense").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    d = d.select("component", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "n", "k", "ts")
+    d = d.groupBy("component", "lo", "hi").applyInArrow(_block_overlap, f"component {dict(rows.dtypes)['component']}, j double")
+    s = same.unionByName(s).unionByName(d).groupBy("component").agg(F.sum("j").alias("s"))
     return size.join(s, "component", "left").select("component", F.round(2 * F.coalesce("s", F.lit(0.0)) / (F.col("m") * (F.col("m") - 1)), 6).alias("raw_overlap"))
 
 
+def _block_overlap(t: pa.Table) -> pa.Table:
+    """(component, j): the sum of the Jaccards of two blocks of sets, or of the pairs of one, each counted by its numbers of reviewers."""
+    import numpy as np
+
+    t = t.combine_chunks()
+    blk, n, k = (t.column(c).to_numpy() for c in ("blk", "n", "k"))
+    lists = t.column("ts").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
+    code = lists.flatten().dictionary_encode().indices.to_numpy()
+    row = np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy())
+    same = t.column("lo")[0].as_py() == t.column("hi")[0].as_py()
+    a = np.flatnonzero(blk == t.column("lo")[0].as_py())
+    b = a if same else np.flatnonzero(blk == t.column("hi")[0].as_py())
+    both, width = np.zeros((len(a), len(b)), dtype=np.float32), 1024
+    for first in range(0, int(code.max()) + 1, width):
+        at = (code >= first) & (code < first + width)
+        has = np.zeros((len(n), width), dtype=np.float32)
+        has[row[at], code[at] - first] = 1
+        both += has[a] @ has[b].T
+    j = both / (n[a][:, None] + n[b][None, :] - both).astype(np.float64) * k[a][:, None] * k[b][None, :]
+    return pa.table({"component": t.column("component").slice(0, 1), "j": pa.array([float(np.triu(j, 1).sum() if same else j.sum())])})
+
+
 def synchrony(rows: DataFrame, key: str, days: int = 7) -> DataFrame:
     """Largest share of a group's events within `days` days; windows that start on an event's day suffice."""
     d = rows.groupBy(key, F.floor(F.col("us") / DAY).alias("day")).agg(F.count("*").alias("n"))
