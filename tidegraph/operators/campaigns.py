@@ -55,8 +55,8 @@ def recovery(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> Data
     fragmentation and merging count, among the matched pairs, sets in several pairs, so they are 0 for any one-to-one
     matching; n_fragmented and n_merged count them among all pairs that share a member.
     """
-    m = match_sets(predicted, truth, least).cache()
-    iou = iou_pairs(predicted, truth)
+    iou = cut(iou_pairs(predicted, truth), "iou")
+    m = cut(_matched(iou, least), "matched")
     np_, nt = (d.select(F.count_distinct(c).alias(f"n_{c}")) for d, c in ((predicted, "p"), (truth, "t")))
     good = m.filter("good")
     shared = good.join(truth.select("t", "member").distinct(), "t").join(predicted.select("p", "member").distinct(), ["p", "member"], "left_semi").groupBy("p", "t").agg(F.count("*").alias("both"))
@@ -68,7 +68,6 @@ def recovery(predicted: DataFrame, truth: DataFrame, least: float = 0.5) -> Data
     one = {}
     for part in (np_, nt, g, share, split, merged):  # six rows of one value each
         one |= part.first().asDict()
-    m.unpersist()
     ratio = lambda a, b: round(a / b, 6) if b else None
     row = (one["n_p"], one["n_t"], one["n_good"], ratio(one["n_good"], one["n_p"]), ratio(one["n_good"], one["n_t"]), round(one["member_recovery"] or 0.0, 6), None if one["mean_iou"] is None else round(one["mean_iou"], 6), 0.0, 0.0, one["n_fragmented"], one["n_merged"])
     return predicted.sparkSession.createDataFrame([row], "n_predicted bigint, n_truth bigint, n_matched bigint, precision double, recall double, member_recovery double, mean_iou double, fragmentation double, merging double, n_fragmented bigint, n_merged bigint")
