@@ -21,18 +21,54 @@ def _seconds(reviews: DataFrame) -> DataFrame:
 def recent_edges(reviews: DataFrame, key: str, days: int, most: int, relation: str) -> DataFrame:
     """From the `most` latest events of the same key within `days` before; no self join.
 
-    Time is cut into spans of `days`; an event needs only its own span and the one before, so a key's log is spread over
-    as many groups as it has spans. The frame of `most` rows before the first event of a second holds its past, and all
-    events of that second take it over: work and memory are in line with the rows.
+    Time is cut into spans of twice `days`, so a key's log is spread over as many groups as it has spans; the events of
+    the last `days` of a span are also needed in the next one. Sorted rows stream through _recent(): work is in line with
+    the rows and edges, memory with a batch.
     """
     r = _seconds(reviews).filter(F.col(key).isNotNull())
-    span = F.floor(F.col("sec") / (days * 86_400)).cast("long")
-    r = r.select("review_id", F.col(key).alias("key"), "sec", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("s")).select("review_id", "key", "sec", "s.*")
-    w = Window.partitionBy("key", "span").orderBy("sec", "review_id")
-    past = F.collect_list(F.struct("sec", "review_id")).over(w.rowsBetween(-most, -1))
-    r = r.withColumn("p", past).withColumn("p", F.first("p").over(Window.partitionBy("key", "span", "sec").orderBy("review_id"))).filter("own")
-    p = r.select(F.col("review_id").alias("dst"), F.col("sec").alias("at"), F.explode("p").alias("s")).filter(F.col("s.sec") >= F.col("at") - days * 86_400)
-    return p.select(F.col("s.review_id").alias("src"), "dst", F.lit(relation).alias("relation"), F.col("s.sec").alias("available_at"))
+    past = days * 86_400
+    span = F.floor(F.col("sec") / (2 * past)).cast("long")
+    x = r.select("review_id", F.col(key).alias("key"), "sec", span.alias("home"), F.explode(F.array_distinct(F.array(span, F.floor((F.col("sec") + past) / (2 * past)).cast("long")))).alias("span"))
+    x = x.filter("span is not null").select("review_id", "key", "span", "sec", (F.col("span") == F.col("home")).alias("own")).repartition("key", "span").sortWithinPartitions("key", "span", "sec", "review_id")
+    kind = dict(r.dtypes)["review_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _recent(batches, past, most)
+
+    return x.mapInArrow(run, f"src {kind}, dst {kind}, available_at long").select("src", "dst", F.lit(relation).alias("relation"), "available_at")
+
+
+def _recent(batches: Iterator[pa.RecordBatch], past: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(src, dst, available_at) of rows sorted by key, span, second and id: each own row's `most` last rows before its second, in the same key and span.
+
+    From batch to batch it keeps the `most` last rows of the last second and the `most` before that second.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    kept = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = (pa.Table.from_batches([b]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([b])])).combine_chunks()
+        n, held = t.num_rows, t.num_rows - b.num_rows
+        sec, at = t.column("sec").to_numpy(), np.arange(n)
+        new = np.ones(n, dtype=bool)
+        new[1:] = pc.or_(*(pc.not_equal(t.column(c).slice(1), t.column(c).slice(0, n - 1)) for c in ("key", "span"))).to_numpy()
+        group = np.maximum.accumulate(np.where(new, at, 0))
+        new[1:] |= sec[1:] != sec[:-1]
+        second = np.maximum.accumulate(np.where(new, at, 0))
+        dst = held + np.flatnonzero(t.column("own").slice(held).to_numpy())
+        src = second[dst][:, None] - np.arange(1, most + 1)
+        ok = src >= group[dst][:, None]
+        ok &= sec[np.maximum(src, 0)] >= (sec[dst] - past)[:, None]
+        src, dst = src[ok], np.repeat(dst, ok.sum(axis=1))
+        if len(src):
+            ids = t.column("review_id").combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(src)), ids.take(pa.array(dst)), pa.array(sec[src])], names=["src", "dst", "available_at"])
+        last = second[-1]
+        kept = t.take(pa.array(np.r_[max(group[-1], last - most) : last, max(last, n - most) : n]))
 
 
 def same_reviewer_edges(reviews: DataFrame, days: int = 30, most: int = 10) -> DataFrame:
